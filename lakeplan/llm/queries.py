@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import tokenio, warc
 
-QUERIES = {"op10_warc": warc.op10}
+QUERIES = {"op8_token_blocks": tokenio.op8, "op10_warc": warc.op10}
 ORACLES: dict[str, str] = {}
