@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import tokenio, warc
+from . import tokenio, toxicity, warc
 
-QUERIES = {"op8_token_blocks": tokenio.op8, "op10_warc": warc.op10}
+QUERIES = {"op2_toxicity": toxicity.op2, "op8_token_blocks": tokenio.op8, "op10_warc": warc.op10}
 ORACLES: dict[str, str] = {}
