@@ -47,7 +47,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of df (file sizes for scans); None where it has none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 55 else None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, tokenio, toxicity, warc
+from . import decontam, ngramjoin, tokenio, toxicity, warc
 
-QUERIES = {"op2_toxicity": toxicity.op2, "op7_decontamination": decontam.op7, "op8_token_blocks": tokenio.op8, "op10_warc": warc.op10}
+QUERIES = {"op2_toxicity": toxicity.op2, "op4_ngram_jaccard": ngramjoin.op4, "op7_decontamination": decontam.op7, "op8_token_blocks": tokenio.op8, "op10_warc": warc.op10}
 ORACLES: dict[str, str] = {}
