@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; bounds a Python worker's memory at any document count.
@@ -94,3 +94,20 @@ def binary_array(parts: list[bytes]) -> pa.Array:
 def documents_only(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) of the rows that have an id; null text counts as empty. Other columns, whatever their names, are left out."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
+
+
+#: Rows of ids that a join may broadcast; beyond it, both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def join_ids(docs: DataFrame, ids: DataFrame, how: str, key: Column) -> DataFrame:
+    """left_semi or left_anti of docs and a written table ids (doc_id); only a counted, bounded table is broadcast.
+
+    Null keys match nothing, so an anti join keeps them.
+    """
+    return docs.join(light(ids.select(F.struct("doc_id").alias("__ids"))), key == F.col("__ids.doc_id"), how)
+
+
+def light(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row: broadcast in joins if its counted rows are within BROADCAST_IDS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
