@@ -177,18 +177,21 @@ def unique_per_text(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
     return key & GRAM_MASK, np.searchsorted(key >> U64(GRAM_BITS), np.arange(len(off), dtype=U64)).astype(np.int64)
 
 
-def prefix_hash(w: Words, n: int) -> np.ndarray:
-    """Hash of the first n bytes of each word (of the whole word where it is shorter)."""
-    if not len(w.hash):
-        return np.zeros(0, U64)
-    h = np.zeros(len(w.hash), U64)
-    length = w.end - w.start
+_BYTE_AT = [_BYTE * _POW[k] for k in range(16)]
+
+
+def prefix_hashes(w: Words, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """For each size (ascending, at most 16) the hash of each word's first so many bytes, or of the whole shorter word."""
+    h, out = np.zeros(len(w.hash), U64), []
+    if not len(h):
+        return [h] * len(sizes)
+    buf, length = np.concatenate([w.buf, np.zeros(16, np.uint8)]), w.end - w.start
     with np.errstate(over="ignore"):
-        for k in range(n):
-            ok = length > k
-            b = w.buf[np.minimum(w.start + k, len(w.buf) - 1)]
-            h += np.where(ok, _BYTE[b] * _POW[k], U64(0))
-    return mix(h ^ U64(0xA5A5A5A5 + n))
+        for k in range(max(sizes)):
+            h += _BYTE_AT[k][buf[w.start + k]] * (length > k)
+            if k + 1 in sizes:
+                out.append(mix(h ^ U64(0xA5A5A5A5 + k)))
+    return out
 
 
 def hash_word(word: str) -> int:

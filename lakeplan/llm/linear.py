@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .kernels import U64, Words, mix, prefix_hash, words
+from .kernels import U64, Words, mix, prefix_hashes, text_buffer, words
 
 #: Most labelled documents that a classifier is fitted on: those of lowest hashed id.
 MAX_TRAIN = 6_000
@@ -27,33 +27,27 @@ FAMILIES = 3
 STYLES = 8
 
 
-def _shares(w: Words, raw: np.ndarray) -> np.ndarray:
-    """Per text: shares of upper case, digits, symbols, bars and marks in its bytes, words a distinct word, mean word length."""
-    n = np.maximum(np.diff(w.text_offset), 1)
+#: Byte classes whose shares are style features.
+_CLASSES = np.zeros((256, 6))
+for _k, _set in enumerate((range(65, 91), range(48, 58), b"#$%&*@=+<>{}[]\\^~_", b"|", b"!?", b"\n")):
+    _CLASSES[list(_set), _k] = 1
 
-    def share(mask):
-        if not len(raw):
-            return np.zeros(len(w))
-        total = np.concatenate([[0], np.cumsum(mask)])
-        return (total[w.text_offset[1:]] - total[w.text_offset[:-1]]) / n
 
-    count = np.maximum(np.diff(w.offset), 1)
-    length = np.concatenate([[0], np.cumsum(w.end - w.start)])
-    doc = w.doc
-    key = np.sort((doc.astype(U64) << U64(48)) | (w.hash & U64((1 << 48) - 1)))
+def _shares(w: Words, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Per text: share of each byte class, words a distinct word (octaves), mean word length (tens)."""
+    counts = np.stack([np.bincount(raw[i:j], minlength=256) for i, j in zip(off, off[1:])])
+    n = np.maximum(np.diff(w.offset), 1)
+    key = np.sort((w.doc.astype(U64) << U64(48)) | (w.hash & U64((1 << 48) - 1)))
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     distinct = np.maximum(np.bincount((key[new] >> U64(48)).astype(np.int64), minlength=len(w)), 1)
-    symbol = np.isin(raw, np.frombuffer(b"#$%&*@=+<>{}[]\\^~_", np.uint8))
-    return np.stack([share((raw >= 65) & (raw <= 90)), share((raw >= 48) & (raw <= 57)), share(symbol), share(raw == 124), share((raw == 33) | (raw == 63)), np.log2(count / distinct), (length[w.offset[1:]] - length[w.offset[:-1]]) / count / 10, share(raw == 10)], 1)
+    length = np.concatenate([[0], np.cumsum(w.end - w.start)])
+    return np.column_stack([counts @ _CLASSES / np.maximum(np.diff(off), 1)[:, None], np.log2(n / distinct), (length[w.offset[1:]] - length[w.offset[:-1]]) / n / 10])
 
 
 def style_features(texts: pa.Array, w: Words) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature): one feature for the bin of each style share."""
-    from .kernels import text_buffer
-
-    raw, off = text_buffer(texts)
-    v = _shares(Words(raw, w.hash, w.start, w.end, w.offset, off), raw)
+    v = _shares(w, *text_buffer(texts))
     b = np.minimum(np.floor(np.log2(1 + v * 256)), 15).astype(np.int64)
     code = np.arange(v.shape[1])[None, :] * 16 + b
     return np.repeat(np.arange(len(w)), v.shape[1]), mix(code.ravel().astype(U64) + U64(0x5715))
@@ -61,7 +55,7 @@ def style_features(texts: pa.Array, w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def word_features(w: Words) -> np.ndarray:
     """(FAMILIES, words) feature hashes."""
-    return np.stack([w.hash, prefix_hash(w, 4), prefix_hash(w, 6)])
+    return np.stack([w.hash, *prefix_hashes(w, (4, 6))])
 
 
 def counted(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,6 +82,18 @@ class LinearModel:
 
     def __init__(self, features: np.ndarray, weights: np.ndarray, bias: np.ndarray, style: bool):
         self.features, self.weights, self.bias, self.style = features, weights, bias, style
+        self.filter = np.zeros(1 << 22, bool)
+        self.filter[self.slot(features)] = True
+
+    @staticmethod
+    def slot(feature: np.ndarray) -> np.ndarray:
+        return (feature & U64((1 << 22) - 1)).astype(np.int64)
+
+    def __getstate__(self):
+        return self.features, self.weights, self.bias, self.style
+
+    def __setstate__(self, state):
+        self.__init__(*state)
 
     def rows(self, doc: np.ndarray, feature: np.ndarray, n_words: np.ndarray) -> np.ndarray:
         """Logits of texts from all their (text, feature) occurrences."""
@@ -96,6 +102,8 @@ class LinearModel:
         out = np.tile(self.bias, (n, 1))
         if not size or not len(feature):
             return out
+        may = self.filter[self.slot(feature)]  # most words carry no weight
+        doc, feature = doc[may], feature[may]
         at = np.minimum(np.searchsorted(self.features, feature), size - 1)
         ok = self.features[at] == feature
         key = np.sort(doc[ok] * size + at[ok])
@@ -108,8 +116,9 @@ class LinearModel:
             out[:, k] += np.bincount(doc, value * self.weights[at, k], n) / np.sqrt(n_words + SHORT)
         return out
 
-    def logits(self, texts: pa.Array) -> np.ndarray:
-        out = []
+    def logits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(logits, words) of each text."""
+        out, count = [np.zeros((0, len(self.bias)))], [np.zeros(0, np.int64)]
         for s in slices(pa.RecordBatch.from_arrays([texts], names=["t"]), "t"):
             w = words(s.column(0))
             doc, feature = np.tile(w.doc, FAMILIES), word_features(w).ravel()
@@ -117,7 +126,8 @@ class LinearModel:
                 d, f = style_features(s.column(0), w)
                 doc, feature = np.concatenate([doc, d]), np.concatenate([feature, f])
             out.append(self.rows(doc, feature, np.diff(w.offset)))
-        return np.concatenate(out) if out else np.zeros((0, len(self.bias)))
+            count.append(np.diff(w.offset))
+        return np.concatenate(out), np.concatenate(count)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:

@@ -122,7 +122,7 @@ class ToxicityModel:
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.linear is None:
             return np.zeros(len(texts))
-        z = self.linear.logits(texts)
+        z, _ = self.linear.logits(texts)
         p = 1 / (1 + np.exp(-(z[:, 1] - z[:, 0])))
         import pyarrow.compute as pc
 
