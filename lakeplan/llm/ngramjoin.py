@@ -12,7 +12,7 @@ at least ``threshold``; documents linked by matches form a group.
    share a token: size - ceil(threshold * size) + 1 grams, the rarest first.
    Grams of one set fill the front of every prefix, so most documents, having
    mostly own grams, send nothing at all.
-4. Each set is first compared with the lowest set of a few of its tokens, which
+4. Each set is first compared with a leading set of a few of its tokens, which
    joins copies by a number of comparisons linear in the copies. Then all pairs
    of sets from different groups that share a prefix token under EVERY order are
    verified. Pairs inside a group need no comparison: the groups are exactly
@@ -29,10 +29,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buckets, documents_only, slices, table, written
+from .common import buckets, documents_only, join_ids, light, slices, table, written
 from .components import components
 from .kernels import GRAM_MASK, U64, mix, ngrams, ranges, unique_per_text, words
 
@@ -42,6 +42,8 @@ THRESHOLD = 0.5
 ORDERS = 3
 #: Tokens of a set that look for a first partner.
 FIRST = 8
+#: Rounds of comparisons with leaders before the exact round.
+STARS = 2
 #: Bytes of Parquet for each bucket of grams.
 BUCKET_BYTES = 12 << 20
 _FLUSH = 3_000_000
@@ -92,11 +94,11 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_buffer() for x in column if x.is_valid), kind)
 
 
-def shared_grams(docs: DataFrame, n: int, count: int) -> DataFrame:
-    """(fp, size, tokens, ranks) of every set with a gram that another set has too.
+def shared_grams(docs: DataFrame, n: int, count: int, threshold: float) -> DataFrame:
+    """(fp, size, tokens, levels) of every set whose prefix has a gram that another set has too; no other set can match.
 
     tokens are bucket * 2^32 + rank of the gram among the bucket's shared grams;
-    ranks are their document frequencies on a quarter-octave scale.
+    levels are their document frequencies on a quarter-octave scale.
     """
 
     def spread(batches):
@@ -161,8 +163,9 @@ def shared_grams(docs: DataFrame, n: int, count: int) -> DataFrame:
         owner, token, level = owner[order], token[order], level[order]
         first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
         cut = np.append(first, len(owner))
-        names, at = np.unique(fp, return_index=True)
-        return pa.table([pa.array(owner[first].view(np.int64)), pa.array(size[at].astype(np.int64)), pa.array([token[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array([level[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], names=["fp", "size", "tokens", "levels"])
+        size = size[np.unique(fp, return_index=True)[1]].astype(np.int64)
+        keep = np.flatnonzero(size - np.ceil(threshold * size - 1e-9) + 1 > size - np.diff(cut))
+        return pa.table([pa.array(owner[first[keep]].view(np.int64)), pa.array(size[keep]), pa.array([token[cut[i] : cut[i + 1]].tobytes() for i in keep], pa.binary()), pa.array([level[cut[i] : cut[i + 1]].tobytes() for i in keep], pa.binary())], names=["fp", "size", "tokens", "levels"])
 
     packed = docs.select("text").mapInArrow(spread, "bucket int, fps binary, sizes binary, counts binary, grams binary")
     back = packed.groupBy("bucket").applyInArrow(matched, "dest int, bucket int, fps binary, sizes binary, counts binary, tokens binary, levels binary")
@@ -189,19 +192,39 @@ def prefixes(size: int, token: np.ndarray, level: np.ndarray, threshold: float,
 
 
 def _first_tokens(sets: DataFrame, threshold: float) -> DataFrame:
+    """(fp, label, own, token): FIRST tokens of each prefix, chosen alike in all sets; own is the share of grams that no other set has."""
+
     def run(batches):
         for b in batches:
-            fps, tokens = [], []
-            for fp, size, token, level in zip(b["fp"].to_pylist(), b["size"].to_pylist(), b["tokens"].to_pylist(), b["levels"].to_pylist()):
+            fps, labels, own, tokens = [], [], [], []
+            for fp, label, size, token, level in zip(*(b[c].to_pylist() for c in ("fp", "label", "size", "tokens", "levels"))):
                 p = prefixes(size, np.frombuffer(token, U64), np.frombuffer(level, np.uint8), threshold, 1)[0]
                 if len(p):
                     p = p[np.argsort(mix(p))[:FIRST]]
                     fps += [fp] * len(p)
+                    labels += [label] * len(p)
+                    own += [1 - len(token) / 8 / size] * len(p)
                     tokens.append(p.view(np.int64))
             if fps:
-                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(np.concatenate(tokens))], names=["fp", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(labels, pa.int64()), pa.array(own, pa.float64()), pa.array(np.concatenate(tokens))], names=["fp", "label", "own", "token"])
+
+    return sets.mapInArrow(run, "fp long, label long, own double, token long")
+
 
-    return sets.mapInArrow(run, "fp long, token long")
+def _stars(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): each set b with the set a that leads most of its first tokens.
+
+    A token's leader is the set with the fewest grams of its own (among copies,
+    the one that the others were made from), or for that set's group the best of another group.
+    """
+    first = written(_first_tokens(sets, threshold), "first")
+    by = F.struct("own", "fp", "label")
+    top = first.groupBy("token").agg(F.min(by).alias("one"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    led = first.join(top, "token")
+    second = led.filter("label != one.label").groupBy("token").agg(F.min(by).alias("two"))
+    tries = led.join(second, "token").select("fp", F.when(F.col("label") != F.col("one.label"), F.col("one.fp")).otherwise(F.col("two.fp")).alias("lead"))
+    counted = tries.groupBy("fp", "lead").agg(F.count("*").alias("k"))
+    return counted.groupBy("fp").agg(F.max(F.struct("k", "lead")).alias("m")).select(F.col("m.lead").alias("a"), F.col("fp").alias("b"))
 
 
 def _postings(sets: DataFrame, threshold: float, orders: int, count: int) -> DataFrame:
@@ -290,8 +313,9 @@ def _cross_pairs(postings: DataFrame, threshold: float) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard) of the pairs that match, by their whole sets."""
-    left = pairs.select("a").distinct().join(sets, F.col("a") == F.col("fp")).select("a", F.lit(None).cast("long").alias("b"), "size", "tokens")
-    right = pairs.join(sets, F.col("b") == F.col("fp")).select("a", "b", "size", "tokens")
+    pairs = written(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("fp"), "a", F.lit(None).cast("long").alias("b")).distinct().union(pairs.select(F.col("b").alias("fp"), "a", "b"))
+    sent = sets.select("fp", "size", "tokens").join(light(wanted), "fp").select("a", "b", "size", "tokens")
 
     def run(key, rows):
         b, size, tokens = rows["b"].to_pylist(), rows["size"].to_pylist(), rows["tokens"]
@@ -306,27 +330,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                     out.append((key[0].as_py(), other, j))
         return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "jaccard"])
 
-    return left.union(right).groupBy("a").applyInArrow(run, "a long, b long, jaccard double")
+    return sent.groupBy("a").applyInArrow(run, "a long, b long, jaccard double")
 
 
 def _labelled(sets: DataFrame, edges: DataFrame) -> DataFrame:
-    labels = components(edges)
+    labels = light(components(edges))
     return sets.join(labels, sets.fp == labels.node, "left").select("fp", "size", "tokens", "levels", F.coalesce("label", "fp").alias("label"))
 
 
 def set_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, orders: int = ORDERS) -> DataFrame:
     """(a, b, jaccard): verified pairs of sets, by fingerprint, whose components are those of all matching pairs."""
     count = buckets(docs, BUCKET_BYTES)
-    sets = written(shared_grams(docs, n, count), "sets")
-    first = _first_tokens(sets, threshold)
-    lead = first.groupBy("token").agg(F.min("fp").alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    tries = first.join(lead, "token").filter("fp != lead").groupBy("fp", "lead").agg(F.count("*").alias("k"))
-    best = tries.groupBy("fp").agg(F.max(F.struct("k", "lead")).alias("m")).select(F.col("m.lead").alias("a"), F.col("fp").alias("b"))
-    copies = written(_verified(best, sets, threshold), "links")
-    labelled = _labelled(sets, copies)
-    pairs = _cross_pairs(_postings(labelled, threshold, orders, count), threshold)
+    sets = written(shared_grams(docs, n, count, threshold), "sets")
+    links = written(_verified(_stars(sets.withColumn("label", F.col("fp")), threshold), sets, threshold), "links")
+    for _ in range(STARS - 1):
+        links = links.union(written(_verified(_stars(_labelled(sets, links), threshold), sets, threshold), "links"))
+    pairs = _cross_pairs(_postings(_labelled(sets, links), threshold, orders, count), threshold)
     pairs = pairs.groupBy("a", "b").agg(F.bit_or("orders").alias("orders")).filter(F.col("orders") == (1 << orders) - 1).select("a", "b")
-    return copies.union(written(_verified(written(pairs, "pairs"), sets, threshold), "links"))
+    return links.union(written(_verified(pairs, sets, threshold), "links"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = NGRAM, orders: int = ORDERS) -> DataFrame:
@@ -352,5 +373,37 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return links.union(links.select(F.col("partner_id").alias("doc_id"), F.col("doc_id").alias("partner_id"), "jaccard", "group_id"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = NGRAM, orders: int = ORDERS) -> DataFrame:
+    """docs with one document of each group: the lowest id (of its rows, should the id be repeated, the first by content).
+
+    Rows with null ids or without words stay as they are, but where other rows of
+    an id are dropped, its word-less rows go too. Only ids are joined with docs.
+    """
+    data = documents_only(docs, id_col, text_col)
+    ids = written(set_ids(data, n), "ids")
+    labels = components(set_links(data, threshold, n, orders))
+    distinct = ids.distinct().join(labels, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("label", "fp"))
+    best = F.min(F.struct("doc_id", "fp"))
+    reps = distinct.groupBy("label").agg(best.alias("rep"), F.count("*").alias("n")).filter("n > 1")
+    drop = written(distinct.join(reps, "label").filter("doc_id != rep.doc_id or fp != rep.fp").select("doc_id", "fp"), "drop")
+    repeated = written(ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    key = F.col(f"`{id_col}`").cast("long")
+    plain = join_ids(docs, drop.select("doc_id").union(repeated).distinct(), "left_anti", key)
+    if not repeated.limit(1).count():
+        return plain.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    @F.arrow_udf("long")
+    def fingerprint(texts: pa.Array) -> pa.Array:
+        got = [gram_sets(s.column(0), n)[2].view(np.int64) for s in slices(pa.RecordBatch.from_arrays([texts], names=["t"]), "t")]
+        return pa.array(np.concatenate(got) if got else np.zeros(0, np.int64))
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    again = docs.select(row, key.alias("doc_id"), fingerprint(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("fp"))
+    again = again.join(repeated, "doc_id", "left_semi").join(drop, ["doc_id", "fp"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("doc_id", "fp").orderBy(F.to_json("row")))
+    again = again.withColumn("place", F.when(F.col("fp") == 0, 1).otherwise(place)).filter("place = 1")
+    return plain.select(*[F.col(f"`{c}`") for c in docs.columns]).union(again.select("row.*"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
