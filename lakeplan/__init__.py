@@ -1,0 +1 @@
+"""lakeplan: a Spark-first analytical query engine."""
