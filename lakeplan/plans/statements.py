@@ -16,6 +16,7 @@ from ..operators import Table, VersionedStore, equi_join, semi
 from ..shared import shared_dir
 from ..sql_engine import SqlEngine
 from ..stats import column_stats, histogram, most_common
+from ..streaming import windowed_counts
 from .registry import Tables, exact, plan
 
 
@@ -131,3 +132,10 @@ def explain_plan(t: Tables) -> DataFrame:
 @plan()
 def explain_analyze_plan(t: Tables) -> DataFrame:
     return explain_analyze(equi_join(t.orders, t.customer, [("o_custkey", "c_custkey")]).groupBy("c_name").count())
+
+
+@plan("SELECT date_trunc('hour', ts) AS window_start, event_type AS key, COUNT(*) AS events, CAST(SUM(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY ALL")
+def windowed_events(t: Tables) -> DataFrame:
+    """The streaming aggregate over a table."""
+    out = windowed_counts(t.events)
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
