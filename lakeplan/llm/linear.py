@@ -150,10 +150,10 @@ class Matrix:
         return out
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.row, self.value * w[self.col, k], self.n) for k in range(w.shape[1])], 1)
+        return np.stack([np.bincount(self.row, self.value * w[self.col, k], self.n).astype(float) for k in range(w.shape[1])], 1)
 
     def transposed_times(self, r: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.col, self.value * r[self.row, k], self.m) for k in range(r.shape[1])], 1)
+        return np.stack([np.bincount(self.col, self.value * r[self.row, k], self.m).astype(float) for k in range(r.shape[1])], 1)
 
 
 def odds(sample: list, y: np.ndarray, classes: int, vocab: np.ndarray) -> np.ndarray:
@@ -212,7 +212,7 @@ def fit(sample: list, y: np.ndarray, classes: int, vocab: np.ndarray, l2: float
     have = np.bincount(y, minlength=classes)
     if not len(y) or (have > 0).sum() < 2:
         return np.zeros(0, U64), np.zeros((0, classes)), np.where((have > 0) | (len(y) == 0), 0.0, -50.0)
-    scale = odds(sample, y, classes, vocab)
+    scale = odds(sample, y, classes, vocab) if len(vocab) else np.zeros(0)
     vocab, scale = vocab[scale >= MIN_ODDS], scale[scale >= MIN_ODDS]
     x = matrix(sample, vocab).scaled(scale)
     swaps = tuple(listed(p, vocab).scaled(scale) for p in pairs) if pairs and pairs[0] else None

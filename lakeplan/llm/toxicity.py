@@ -7,8 +7,8 @@ and neutral mentions are not flagged. The cut is the one of best F1 over scores
 that each fifth of the sample gets from a model fitted on the rest.
 
 Cases: null and empty texts score 0 and are never toxic; rows with null ids are
-scored like any other; repeated rows get equal scores; without labels, or with
-labels of one class, nothing is toxic; an empty table gives no rows; labels that
+scored like any other; repeated rows get equal scores; without labels, with
+labels of one class, or where no word tells the classes apart, nothing is toxic; an empty table gives no rows; labels that
 are null or whose documents are missing are left out; other columns, whatever
 their names, are ignored by ``toxicity`` and returned as they are by ``reject_toxic``.
 """
@@ -148,6 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         z = linear.matrix([sample[i] for i in np.flatnonzero(fold == k)], features).times(w) + b
         logit[fold == k] = z[:, 1] - z[:, 0]
     features, w, b = fitted(np.arange(len(y)))
+    if not len(features):  # nothing tells the classes apart
+        return ToxicityModel(None, 1.1, 0)
     cut = 1 / (1 + np.exp(-best_cut(logit, y > 0)))
     return ToxicityModel(linear.LinearModel(features, w, b, False), cut, len(pairs[0]))
 

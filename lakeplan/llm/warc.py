@@ -43,10 +43,15 @@ def record(page_id: int | None, url: str | None, body: bytes | None, date: str =
     """One WARC/1.1 response record."""
     null = ",".join(n for n, v in (("id", page_id), ("url", url), ("body", body)) if v is None)
     payload = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body or b"") + (body or b"")
-    clean = (url or "").replace("\r", "%0D").replace("\n", "%0A")
+    clean = url or ""
+    escaped = "\r" in clean or "\n" in clean
+    if escaped:
+        clean = clean.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
     head = ["WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id} {clean}')}>", f"WARC-Target-URI: {clean}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{hashlib.sha1(body or b'').hexdigest()}", f"X-Page-ID: {'' if page_id is None else page_id}"]
     if null:
         head.append(f"X-Null-Fields: {null}")
+    if escaped:
+        head.append("X-Escaped-URI: yes")
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(payload)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
@@ -58,7 +63,9 @@ def parse(raw: bytes) -> tuple[int | None, str | None, bytes | None]:
     payload = rest[: int(fields["Content-Length"])]
     body = payload.partition(b"\r\n\r\n")[2]
     null = set(fields.get("X-Null-Fields", "").split(","))
-    url = fields["WARC-Target-URI"].replace("%0D", "\r").replace("%0A", "\n")
+    url = fields["WARC-Target-URI"]
+    if "X-Escaped-URI" in fields:
+        url = url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
     return None if "id" in null else int(fields["X-Page-ID"]), None if "url" in null else url, None if "body" in null else body
 
 
