@@ -9,7 +9,7 @@ whole document, so log_likelihood is exact for sequences of any length.
 
 Cases: null and empty texts have no tokens, log-likelihood 0 and a null
 perplexity; null ids are kept; repeated rows count as often as they occur in
-training and get equal scores; very long texts are scored whole; ids that the
+training and get equal scores (to rounding); very long texts are scored whole; ids that the
 corpus lacks keep a small probability; an empty table gives no rows; other
 columns, whatever their names, are ignored.
 """

@@ -11,7 +11,7 @@ all pages but those at its ends; the ends of all tasks, with the pages beside
 them, are ordered again, and so on until one task holds them: no result depends
 on where partitions begin.
 
-Cases: null HTML gives null text; empty HTML gives empty text; pages of null or
+Cases: null HTML gives null text and is a neighbour without lines; empty HTML gives empty text; pages of null or
 host-less URLs, of hosts with one path, and pages whose neighbours hold at least
 MIRROR of their text (mirrors, not templates) keep all lines; several pages of
 one path (other queries, repeated rows) share their neighbours and are not
@@ -140,7 +140,7 @@ def _settle(rows: Iterator[dict], whole: bool) -> Iterator[dict]:
         if not group or group[0]["host"] != host or not host:
             return None
         r = group[at]
-        return r["path"], r["page_id"], _unpack(r["lines"])
+        return r["path"], r["page_id"], [] if r["lines"] is None else _unpack(r["lines"])
 
     def settled(before, group, after):
         host, path = group[0]["host"], group[0]["path"]
