@@ -29,9 +29,9 @@ def scan_pushed(t: Tables) -> DataFrame:
     return scan(t.spark, f"{t.folder}/orders.parquet", ["o_orderkey", "o_totalprice"], F.col("o_totalprice") >= 400000)
 
 
-@plan("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 100 AND 900 AND o_orderstatus = 'F'")
-def scan_key_range(t: Tables) -> DataFrame:
-    return where(t.orders, between(F.col("o_orderkey"), 100, 900), F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey")
+@plan("SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice BETWEEN 100000 AND 200000 AND o_orderstatus = 'F'")
+def scan_range(t: Tables) -> DataFrame:
+    return where(t.orders, between(F.col("o_totalprice"), 100000, 200000), F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey")
 
 
 @plan("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 7)")
@@ -77,9 +77,9 @@ def filter_compare(t: Tables) -> DataFrame:
     return where(t.lineitem, F.col("l_quantity") >= 45, F.col("l_discount") < 0.05, F.col("l_returnflag") != "N", F.col("l_linenumber") <= 3, F.col("l_tax") > 0.01, F.col("l_linestatus") == "F").select("l_orderkey", "l_linenumber")
 
 
-@plan("SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' OR o_totalprice < 100000) AND (o_orderpriority = '1-URGENT' OR o_custkey < 100)")
+@plan("SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' OR o_totalprice < 100000) AND (o_orderpriority = '1-URGENT' OR o_totalprice > 400000)")
 def filter_bool(t: Tables) -> DataFrame:
-    return where(t.orders, ~((F.col("o_orderstatus") == "F") | (F.col("o_totalprice") < 100000)), (F.col("o_orderpriority") == "1-URGENT") | (F.col("o_custkey") < 100)).select("o_orderkey")
+    return where(t.orders, ~((F.col("o_orderstatus") == "F") | (F.col("o_totalprice") < 100000)), (F.col("o_orderpriority") == "1-URGENT") | (F.col("o_totalprice") > 400000)).select("o_orderkey")
 
 
 @plan("SELECT p_partkey, p_size FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice NOT BETWEEN 910 AND 950")
@@ -205,9 +205,9 @@ def anti_not_in(t: Tables) -> DataFrame:
     return null_aware_anti(t.customer, t.orders.filter(F.col("o_orderpriority") == "1-URGENT"), "c_custkey", "o_custkey").select("c_custkey")
 
 
-@plan("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_orderkey > 10 THEN o_custkey END FROM orders)")
+@plan("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_totalprice > 1100 THEN o_custkey END FROM orders)")
 def anti_not_in_nulls(t: Tables) -> DataFrame:
-    keys = t.orders.select(F.when(F.col("o_orderkey") > 10, F.col("o_custkey")).alias("k"))
+    keys = t.orders.select(F.when(F.col("o_totalprice") > 1100, F.col("o_custkey")).alias("k"))
     return null_aware_anti(t.customer, keys, "c_custkey", "k").select("c_custkey")
 
 
@@ -231,9 +231,9 @@ def agg_global(t: Tables) -> DataFrame:
     return global_aggregate(t.lineitem, n=F.count("*"), n_tax=F.count("l_tax"), total=exact_sum("l_quantity"), mean=exact_avg("l_tax"), low=F.min("l_returnflag"), latest=F.max(F.to_date("l_shipdate")))
 
 
-@plan("SELECT COUNT(*) AS n, CAST(SUM(o_custkey) AS BIGINT) AS total, AVG(o_totalprice) AS mean, MIN(o_totalprice) AS low FROM orders WHERE o_orderkey < 0")
+@plan("SELECT COUNT(*) AS n, CAST(SUM(o_custkey) AS BIGINT) AS total, AVG(o_totalprice) AS mean, MIN(o_totalprice) AS low FROM orders WHERE o_totalprice < 0")
 def agg_global_empty(t: Tables) -> DataFrame:
-    return global_aggregate(t.orders.filter(F.col("o_orderkey") < 0), n=F.count("*"), total=F.sum("o_custkey"), mean=F.avg("o_totalprice"), low=F.min("o_totalprice"))
+    return global_aggregate(t.orders.filter(F.col("o_totalprice") < 0), n=F.count("*"), total=F.sum("o_custkey"), mean=F.avg("o_totalprice"), low=F.min("o_totalprice"))
 
 
 @plan(f"SELECT l_returnflag, l_linestatus, COUNT(*) AS n, {exact('l_extendedprice')} AS total, MIN(l_quantity) AS low, MAX(l_quantity) AS high FROM lineitem GROUP BY ALL")

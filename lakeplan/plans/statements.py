@@ -6,6 +6,7 @@ A statement runs against a copy of the table in the shared folder; the query is
 from __future__ import annotations
 
 import uuid
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,9 +89,9 @@ def tpcc_order_status(t: Tables) -> DataFrame:
     return rows.groupBy("c_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
 
 
-@plan("SELECT COUNT(DISTINCT p_partkey) AS low_stock FROM part WHERE p_size < 20 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey >= 82 AND l_orderkey < 1102)")
+@plan("SELECT COUNT(DISTINCT p_partkey) AS low_stock FROM part WHERE p_size < 20 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= DATE '2000-01-01')")
 def tpcc_stock_level(t: Tables) -> DataFrame:
-    recent = t.lineitem.filter((F.col("l_orderkey") >= 82) & (F.col("l_orderkey") < 1102))
+    recent = t.lineitem.filter(F.col("l_shipdate") >= F.lit(date(2000, 1, 1)))
     return semi(t.part.filter(F.col("p_size") < 20), recent, F.col("l_partkey") == F.col("p_partkey")).agg(F.count_distinct("p_partkey").alias("low_stock"))
 
 
