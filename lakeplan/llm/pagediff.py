@@ -212,7 +212,7 @@ def page_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", range_bytes: int = RANGE_BYTES, end_pages: int = END_PAGES) -> DataFrame:
     """page_id, url, partner_id, n_lines, n_removed, text of every page."""
-    order = ["host", "path", "page_id", "url", "lines"]
+    order = ["host", "path", "page_id", "url"]  # what a range partitioning samples goes to the driver: no page text
     lines = page_lines(pages, id_col, url_col, html_col)
     parts = buckets(pages, range_bytes)
     done: list[DataFrame] = []
@@ -220,7 +220,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     while True:
         whole = parts == 1
         ranged = todo.coalesce(1) if whole else todo.repartitionByRange(parts, *order)
-        result = written(ranged.sortWithinPartitions(*order, "kind").mapInArrow(lambda b, w=whole: _batches(_settle(_merged(_rows(b)), w)), _SCHEMA), "pages")
+        result = written(ranged.sortWithinPartitions(*order, "lines", "kind").mapInArrow(lambda b, w=whole: _batches(_settle(_merged(_rows(b)), w)), _SCHEMA), "pages")
         done.append(result.filter("kind = 0"))
         if whole:
             break
