@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 #: Bytes of text that a kernel works on at once; bounds a Python worker's memory at any document count.
 SLICE_BYTES = 3 << 20
 
@@ -27,16 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of its own only where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="lakeplan-")
-        atexit.register(shutil.rmtree, where, True)
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and the rows survive lost executors."""
     spark = df.sparkSession
@@ -96,8 +85,9 @@ def documents_only(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
 
 
-#: Rows of ids that a join may broadcast; beyond it, both sides are shuffled.
+#: Rows, and bytes of compressed Parquet, that a join may broadcast; beyond them, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
+BROADCAST_BYTES = 16 << 20
 
 
 def join_ids(docs: DataFrame, ids: DataFrame, how: str, key: Column) -> DataFrame:
@@ -109,5 +99,6 @@ def join_ids(docs: DataFrame, ids: DataFrame, how: str, key: Column) -> DataFram
 
 
 def light(df: DataFrame) -> DataFrame:
-    """A written table of a few numbers a row: broadcast in joins if its counted rows are within BROADCAST_IDS."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    """A written table: broadcast in joins if its counted rows and its files are within BROADCAST_IDS and BROADCAST_BYTES."""
+    size = plan_bytes(df)
+    return F.broadcast(df) if size is not None and size <= BROADCAST_BYTES and df.count() <= BROADCAST_IDS else df
