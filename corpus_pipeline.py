@@ -18,7 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeplan.llm import decontam, mixing, ngramjoin, tokenio, toxicity
-from lakeplan.llm.common import shared_dir, table
+from lakeplan.llm.common import table
+from lakeplan.shared import shared_dir
 
 #: Target shares of tokens by quality, reached by repeating documents only.
 QUALITY = {"high": "quality = 1", "low": "quality = 0"}
