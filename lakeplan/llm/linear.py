@@ -265,9 +265,12 @@ def sample_features(docs: DataFrame, ids: list[tuple[int, int]], id_col: str, te
 
 
 def collected(rows: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray, bytes, int]]:
-    """The sample on the driver in a fixed order; of repeated ids the first."""
-    got = sorted((r.id, bytes(r.features), bytes(r.counts), bytes(r.extra), r.n_words) for r in rows.collect())
-    return [(i, np.frombuffer(f, U64), np.frombuffer(c, np.uint32), e, n) for k, (i, f, c, e, n) in enumerate(got) if not k or got[k - 1][0] != i]
+    """The sample on the driver in a fixed order; of repeated ids the first. Its arrays are views of one Arrow table."""
+    t = rows.toArrow().sort_by([(c, "ascending") for c in ("id", "features", "counts", "extra")])
+    ids, n_words = t["id"].to_pylist(), t["n_words"].to_pylist()
+    view = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in t[c]]
+    every = zip(ids, view("features", U64), view("counts", np.uint32), t["extra"].to_pylist(), n_words)
+    return [r for k, r in enumerate(every) if not k or ids[k - 1] != r[0]]
 
 
 def vocabulary(features: list[np.ndarray], min_df: int = MIN_DF) -> np.ndarray:
@@ -277,6 +280,15 @@ def vocabulary(features: list[np.ndarray], min_df: int = MIN_DF) -> np.ndarray:
     return all_[df >= min_df]
 
 
+def trimmed(sample: list, vocab: np.ndarray) -> list:
+    """The sample without features outside the vocabulary, which no fit uses."""
+    out = []
+    for i, feature, count, extra, n in sample:
+        ok = vocab[np.minimum(np.searchsorted(vocab, feature), len(vocab) - 1)] == feature if len(vocab) else np.zeros(len(feature), bool)
+        out.append((i, feature[ok], count[ok], extra, n))
+    return out
+
+
 def matrix(sample: list, vocab: np.ndarray) -> Matrix:
     """Rows of collected documents; their words are the counts of one family of features."""
     row = np.repeat(np.arange(len(sample)), [len(s[1]) for s in sample])

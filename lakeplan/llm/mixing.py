@@ -61,7 +61,9 @@ def train(docs: DataFrame, labels: DataFrame, domains: dict[str, str] | None = N
     y = np.array([of[s[0]] for s in sample], np.int64)
     have = np.unique(y) if len(y) else np.array([0])
     y = np.searchsorted(have, y)
-    features, w, b = linear.fit(sample, y, len(have), linear.vocabulary([s[1] for s in sample]), l2=3e-4, balanced=False)
+    vocab = linear.vocabulary([s[1] for s in sample])
+    sample = linear.trimmed(sample, vocab)
+    features, w, b = linear.fit(sample, y, len(have), vocab, l2=3e-4, balanced=False)
     return DomainModel([names[k] for k in have] if sample else ["all"], linear.LinearModel(features, w, b, True))
 
 

@@ -140,6 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(np.unique(y)) < 2:
         return ToxicityModel(None, 1.1, 0)
     vocab = linear.vocabulary([s[1] for s in sample])
+    sample = linear.trimmed(sample, vocab)
     pairs = unpack_pairs([s[3] for s in sample]) if swap_penalty > 0 else ([], [])
     fitted = lambda part: linear.fit([sample[i] for i in part], y[part], 2, vocab, pairs=pairs, swap_penalty=swap_penalty)
     logit, fold = np.zeros(len(y)), np.arange(len(y)) % FOLDS
