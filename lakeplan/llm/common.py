@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..shared import shared_dir
 
 #: Bytes of text that a kernel works on at once; bounds a Python worker's memory at any document count.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 
 def ship(spark: SparkSession) -> None:
