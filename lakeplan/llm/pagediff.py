@@ -107,7 +107,7 @@ def differenced(lines: list[str], path: str, before: tuple | None, after: tuple
     return None, lines
 
 
-# A page in transit: settled pages have kind 0; kind 1 is a page at a partition's end, kind 2 one that only serves as its neighbour.
+# A page in transit: settled pages have kind 0 and plain text, which Parquet packs better than single pages could be; kind 1 is a page at a partition's end, kind 2 one that only serves as its neighbour.
 _SCHEMA = "kind int, host string, path string, page_id long, url string, partner_id long, n_lines int, n_removed int, lines binary"
 _ARROW = pa.schema([("kind", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("partner_id", pa.int64()), ("n_lines", pa.int32()), ("n_removed", pa.int32()), ("lines", pa.binary())])
 
@@ -153,7 +153,7 @@ def _settle(rows: Iterator[dict], whole: bool) -> Iterator[dict]:
                 continue
             lines = _unpack(r["lines"])
             partner, kept = differenced(lines, path, b, a)
-            yield r | {"kind": 0, "partner_id": partner, "n_removed": len(lines) - len(kept), "lines": _pack(kept)}
+            yield r | {"kind": 0, "partner_id": partner, "n_removed": len(lines) - len(kept), "lines": "\n".join(kept).encode("utf-8", "surrogatepass")}
 
     def held(group, beside: int):
         """An end group waits; beside: which of its neighbour's pages serves it."""
@@ -232,12 +232,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
-
-    @F.arrow_udf("string")
-    def text(blobs: pa.Array) -> pa.Array:
-        return pa.array([None if not b.is_valid else "\n".join(_unpack(b.as_py())) for b in blobs], pa.string())
-
-    return out.select("page_id", "url", "partner_id", "n_lines", "n_removed", text("lines").alias("text"))
+    return out.select("page_id", "url", "partner_id", "n_lines", "n_removed", F.col("lines").cast("string").alias("text"))
 
 
 def _merged(rows: Iterator[dict]) -> Iterator[dict]:
