@@ -1,12 +1,13 @@
-"""Operator 7: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Operator 7: benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
-The test items' word n-grams are counted over the whole corpus; of each item,
-its rarer half and every gram in at most RARE_SHARE of the documents are seeds.
-Where a document holds a seed, the words around it are aligned with the item
-(local alignment over words, linear gaps); the score over the item's length is 1
-for a copy and falls with every edit. The test set is small beside the corpus:
-it travels to the tasks in shards of at most MAX_GRAMS grams, one pass over the
-documents each, so nothing sent grows without bound and no document is shuffled.
+Every word n-gram of a test item is a seed, however often it occurs. Where a
+document holds one, the words that an alignment through it can reach are aligned
+with the item (local alignment over words, linear gaps), unless the words they
+have in common are too few for the score whatever their order. A pair whose best
+alignment leaves one gram intact gets the score of aligning the whole document.
+The score over the item's length is 1 for a copy and falls with every edit. The
+test set is small beside the corpus: it travels to the tasks in shards of at
+most MAX_GRAMS grams, so no document is shuffled.
 
 Cases: null or empty texts, items and ids match nothing (null-id documents are
 left out of the result and kept by ``drop_contaminated`` unless contaminated);
@@ -27,12 +28,13 @@ from .common import documents_only, slices, table
 from .kernels import U64, ngrams, ranges, words
 
 NGRAM = 3
-RARE_SHARE = 1e-5
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Grams of test items sent to the tasks at once.
 MAX_GRAMS = 2_000_000
 _CELLS = 1 << 19
+#: Pairs of a document's seed and an item that are held at once.
+_PAIRS = 200_000
 
 
 class Items:
@@ -48,22 +50,13 @@ class Items:
         order = np.lexsort((at, item, gram))
         self.gram, self.item, self.at = gram[order], item[order], at[order]
         self.unique = np.unique(gram)
+        self.vocabulary, word = np.unique(w.hash, return_inverse=True)
+        #: Sorted (item, word) keys and how often the item has the word.
+        self.word, self.times = np.unique(np.repeat(np.arange(len(ids)), np.diff(w.offset)) * max(len(self.vocabulary), 1) + word, return_counts=True)
 
     def words_of(self, i: int) -> np.ndarray:
         return self.hash[self.offset[i] : self.offset[i + 1]]
 
-    def keep_rare(self, df: np.ndarray, docs: int, share: float = RARE_SHARE) -> None:
-        """Keep each item's seeds; df belongs to ``unique``."""
-        mine = df[np.searchsorted(self.unique, self.gram)]
-        order = np.lexsort((self.at, mine, self.item))
-        first = np.searchsorted(self.item[order], np.arange(len(self.ids)))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - first[self.item[order]]
-        size = np.bincount(self.item, minlength=len(self.ids))
-        keep = (rank < (size[self.item] + 1) // 2) | (mine <= share * docs)
-        self.gram, self.item, self.at = self.gram[keep], self.item[keep], self.at[keep]
-        self.unique = np.unique(self.gram)
-
 
 def smith_waterman(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     """Best local alignment score of each (item, window) pair of word hashes."""
@@ -100,6 +93,18 @@ def smith_waterman(items: list[np.ndarray], windows: list[np.ndarray]) -> np.nda
     return out
 
 
+def common_words(items: Items, item: np.ndarray, word: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Words that each item and its window have in common, repeats as often as in both; word has the index in items.vocabulary or -1."""
+    at, own = ranges(begin, end - begin), np.repeat(np.arange(len(item)), end - begin)
+    used = word[at] >= 0
+    at, own = at[used], own[used]
+    key = item[own] * len(items.vocabulary) + word[at]
+    at = np.minimum(np.searchsorted(items.word, key), len(items.word) - 1)
+    used = items.word[at] == key
+    pair, n = np.unique(own[used] * len(items.word) + at[used], return_counts=True)
+    return np.bincount(pair // len(items.word), np.minimum(n, items.times[pair % len(items.word)]), len(item))
+
+
 def align(texts: pa.Array, items: Items, min_score: float = MIN_SCORE) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, first word, last word) of the best window of each pair that reaches min_score."""
     w = words(texts)
@@ -107,31 +112,42 @@ def align(texts: pa.Array, items: Items, min_score: float = MIN_SCORE) -> list[t
     if not len(gram) or not len(items.unique):
         return []
     at = np.minimum(np.searchsorted(items.unique, gram), len(items.unique) - 1)
-    hit = np.flatnonzero(items.unique[at] == gram)
-    if not len(hit):
+    hits = np.flatnonzero(items.unique[at] == gram)
+    if not len(hits):
         return []
-    lo, hi = np.searchsorted(items.gram, gram[hit]), np.searchsorted(items.gram, gram[hit], "right")
-    pick, hit = ranges(lo, hi - lo), np.repeat(hit, hi - lo)
-    doc = np.searchsorted(off, hit, "right") - 1
-    item = items.item[pick]
-    size = np.diff(items.offset)[item]
-    start = hit - off[doc] - items.at[pick]  # where the item would begin
-    slack = size // 2 + 2
-    order = np.lexsort((start, item, doc))
-    doc, item, start, size, slack = doc[order], item[order], start[order], size[order], slack[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > slack[1:])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1
-    doc, item, size, slack = doc[first], item[first], size[first], slack[first]
-    begin = np.maximum(start[first] - slack, 0)
-    end = np.minimum(start[last] + size + slack, np.diff(w.offset)[doc])
-    base = w.offset[doc]
-    score = smith_waterman([items.words_of(i) for i in item], [w.hash[s + b : s + e] for s, b, e in zip(base, begin, end)]) / np.maximum(size, 1) / MATCH
+    word = np.minimum(np.searchsorted(items.vocabulary, w.hash), len(items.vocabulary) - 1)
+    word[items.vocabulary[word] != w.hash] = -1
+    lo, hi = np.searchsorted(items.gram, gram[hits]), np.searchsorted(items.gram, gram[hits], "right")
+    cut = np.append(np.flatnonzero(np.diff(np.cumsum(hi - lo) // _PAIRS, prepend=-1)), len(hits))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for d, i, s, b, e in zip(doc.tolist(), item.tolist(), score.tolist(), begin.tolist(), end.tolist()):
-        if s >= min_score and s > best.get((d, i), (0,))[0]:
-            best[d, i] = (s, b, e)
+    for i, j in zip(cut[:-1], cut[1:]):
+        n = hi[i:j] - lo[i:j]
+        pick, hit = ranges(lo[i:j], n), np.repeat(hits[i:j], n)
+        doc = np.searchsorted(off, hit, "right") - 1
+        item, at = items.item[pick], items.at[pick]
+        size = np.diff(items.offset)[item]
+        start = hit - off[doc] - at  # where the item would begin
+        # Words that an alignment of this score may skip; before and after the seed it skips no more than its matches there pay for.
+        skip = np.floor((1 - min_score) * MATCH * size / -GAP + 1e-9).astype(np.int64)
+        paid = MATCH / -GAP
+        begin = np.maximum(start - np.minimum(skip, np.ceil(paid * at).astype(np.int64)), 0)
+        end = np.minimum(start + size + np.minimum(skip, np.ceil(paid * (size - at)).astype(np.int64)), np.diff(w.offset)[doc])
+        order = np.lexsort((begin, item, doc))
+        doc, item, size, begin, end = doc[order], item[order], size[order], begin[order], end[order]
+        same = np.cumsum(np.diff(doc * len(items.ids) + item, prepend=-1) != 0)
+        reach = np.maximum.accumulate(same * (len(w.hash) + 1) + end)  # of the windows so far of the same pair
+        new = np.ones(len(doc), bool)
+        new[1:] = (same[1:] != same[:-1]) | (begin[1:] > reach[:-1] - same[:-1] * (len(w.hash) + 1))
+        first = np.flatnonzero(new)
+        end = np.maximum.reduceat(end, first)
+        doc, item, size, begin = doc[first], item[first], size[first], begin[first]
+        base = w.offset[doc]
+        may = np.flatnonzero(MATCH * common_words(items, item, word, base + begin, base + end) >= min_score * MATCH * size - 1e-9)
+        doc, item, size, begin, end, base = doc[may], item[may], size[may], begin[may], end[may], base[may]
+        score = smith_waterman([items.words_of(i) for i in item], [w.hash[s + b : s + e] for s, b, e in zip(base, begin, end)]) / np.maximum(size, 1) / MATCH
+        for d, i, s, b, e in zip(doc.tolist(), item.tolist(), score.tolist(), begin.tolist(), end.tolist()):
+            if s >= min_score and s > best.get((d, i), (0,))[0]:
+                best[d, i] = (s, b, e)
     return [(d, i, *v) for (d, i), v in best.items()]
 
 
@@ -148,37 +164,9 @@ def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return out
 
 
-def count_seeds(texts: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """Documents that hold each of items.unique, and documents, over the whole table ``texts`` (column text)."""
-
-    def run(batches):
-        df, docs = np.zeros(len(items.unique), np.int64), 0
-        for b in batches:
-            for s in slices(b, "text"):
-                gram, off = ngrams(words(s.column("text")), items.n)
-                docs += s.num_rows
-                at = np.minimum(np.searchsorted(items.unique, gram), len(items.unique) - 1)
-                hit = np.flatnonzero(items.unique[at] == gram)
-                pair = np.unique((np.searchsorted(off, hit, "right") - 1) * len(items.unique) + at[hit])
-                df += np.bincount(pair % len(items.unique), minlength=len(df))
-        used = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(df[used], docs))], names=["gram", "n"])
-
-    got = texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    at, n = got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
-    df = np.zeros(len(items.unique), np.int64)
-    df[at[at >= 0]] = n[at >= 0]
-    return df, int(n[at < 0].sum())
-
-
 def prepared(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = NGRAM, max_grams: int = MAX_GRAMS) -> list[Items]:
-    """Shards of test items with their rare seeds chosen by counts over all documents."""
-    out = shards(benchmark, item_col, item_text_col, n, max_grams)
-    texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    for items in out:
-        if len(items.unique):
-            items.keep_rare(*count_seeds(texts, items))
-    return out
+    """Shards of test items; the same for all documents, as no seed is chosen by its count among them."""
+    return shards(benchmark, item_col, item_text_col, n, max_grams)
 
 
 def contaminated(docs: DataFrame, items: list[Items], id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:

@@ -77,3 +77,22 @@ def test_shards_find_the_same(spark, data):
     one = rows(decontam.contaminated(docs, decontam.prepared(docs, bench)))
     parts = decontam.prepared(docs, bench, max_grams=500)
     assert len(parts) > 1 and sorted(rows(decontam.contaminated(docs, parts))) == sorted(one)
+
+
+@pytest.mark.parametrize("size", [30, 38, 48])
+def test_edited_copies_like_exhaustive_alignment(spark, size):
+    """Copies with every 4th to 6th word changed, half items and spread items; fillers make all intact grams more frequent than the broken ones."""
+    rng = np.random.default_rng(size)
+    item = [f"word{size}x{k}" for k in range(size)]
+    fill = lambda n: [f"filler{k}" for k in rng.integers(0, 500, n)]
+    edited = [[f"edit{step}x{k}" if k % step == step - 1 else w for k, w in enumerate(item)] for step in (4, 5, 6)]
+    spread = [item[: size // 2] + fill(size - 6) + item[size // 2 :], item[: size // 3] + item[size // 2 :], [x for k, w in enumerate(item) for x in ([w, f"new{k}"] if k % 3 == 2 else [w])]]
+    halves = [item[: size // 2], item[size // 2 :], item[: size // 2 - 1]]
+    texts = [fill(80) + t + fill(80) for t in [*edited, *spread, *halves, *[edited[0]] * 40, *[item] * 3]]
+    docs = documents(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])
+    parts = decontam.prepared(docs, items(spark, [(1, " ".join(item))]))
+    want = {k: local_score(item, t) / size for k, t in enumerate(texts)}
+    want = {k: s for k, s in want.items() if s >= decontam.MIN_SCORE}
+    got = {r[0]: r[2] for r in rows(decontam.contaminated(docs, parts))}
+    assert len(want) >= 50 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert decontam.drop_contaminated(docs, parts).count() == len(texts) - len(want)
