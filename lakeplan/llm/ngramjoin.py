@@ -12,11 +12,11 @@ at least ``threshold``; documents linked by matches form a group.
    share a token: size - ceil(threshold * size) + 1 grams, the rarest first.
    Grams of one set fill the front of every prefix, so most documents, having
    mostly own grams, send nothing at all.
-4. Each set is first compared with a leading set of a few of its tokens, which
-   joins copies by a number of comparisons linear in the copies. Then all pairs
-   of sets from different groups that share a prefix token under EVERY order are
-   verified. Pairs inside a group need no comparison: the groups are exactly
-   those of the full join.
+4. All pairs of sets that share a prefix token under EVERY order are verified;
+   ``jaccard_join`` returns each that matches. ``keep_one`` needs only the groups:
+   there each set is first compared with a leading set of a few of its tokens,
+   which joins copies by a number of comparisons linear in the copies, and then
+   only pairs of sets from different groups are verified.
 
 Cases: null ids and null, empty or word-less texts match nothing; texts shorter
 than NGRAM words have one gram of all their words; a repeated row is an exact
@@ -281,36 +281,47 @@ def _cross_pairs(postings: DataFrame, threshold: float) -> DataFrame:
         width = np.diff(np.append(first, len(token)))
         mixed = np.maximum.reduceat(label[own], first) != np.minimum.reduceat(label[own], first) if len(first) else np.zeros(0, bool)
         first, width = first[mixed], width[mixed]
+        rank = np.empty(len(fp), np.int64)  # a pair is one number: (lower rank, higher rank, order)
+        rank[np.argsort(fp, kind="stable")] = np.arange(len(fp))
         found: list[np.ndarray] = []
         pending: list[np.ndarray] = []
 
         def settle():
             if pending:
-                found[:] = [np.unique(np.concatenate([*found, *pending]), axis=0)]
+                found[:] = [np.unique(np.concatenate([*found, *pending]))]
                 pending.clear()
 
         held = 0
         for f, n in zip(first.tolist(), width.tolist()):
             x, bit = own[f : f + n], int(token[f] >> U64(32))
+            x = x[np.argsort(rank[x])]
             for i in range(0, n, 1024):
                 a, b = np.meshgrid(np.arange(i, min(i + 1024, n)), np.arange(n), indexing="ij")
                 ok = a < b
                 a, b = x[a[ok]], x[b[ok]]
                 ok = (label[a] != label[b]) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9)
                 if ok.any():
-                    u, v = fp[a[ok]], fp[b[ok]]
-                    pending.append(np.stack([np.minimum(u, v), np.maximum(u, v), np.full(len(u), bit)], 1))
-                    held += len(u)
-                    if held > 2_000_000:
+                    pending.append((rank[a[ok]] * len(fp) + rank[b[ok]]) * 64 + bit)
+                    held += len(pending[-1])
+                    if held > max([2_000_000, *map(len, found)]):
                         settle()
                         held = 0
         settle()
-        got = found[0] if found else np.zeros((0, 3), np.int64)
-        return pa.table([pa.array(got[:, 0]), pa.array(got[:, 1]), pa.array(1 << got[:, 2])], names=["a", "b", "orders"])
+        got = found[0] if found else np.zeros(0, np.int64)
+        head = np.flatnonzero(np.diff(got >> 6, prepend=-1))
+        bits = np.bitwise_or.reduceat(1 << (got & 63), head) if len(got) else got
+        pair, by = got[head] >> 6, np.sort(fp)
+        return pa.table([pa.array(by[pair // max(len(fp), 1)]), pa.array(by[pair % max(len(fp), 1)]), pa.array(bits)], names=["a", "b", "orders"])
 
     return postings.groupBy("bucket").applyInArrow(run, "a long, b long, orders long")
 
 
+def _candidates(sets: DataFrame, threshold: float, orders: int, count: int) -> DataFrame:
+    """(a, b): pairs of sets of different labels that share a prefix token under every order."""
+    pairs = _cross_pairs(_postings(sets, threshold, orders, count), threshold)
+    return pairs.groupBy("a", "b").agg(F.bit_or("orders").alias("orders")).filter(F.col("orders") == (1 << orders) - 1).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard) of the pairs that match, by their whole sets."""
     pairs = written(pairs, "pairs")
@@ -345,32 +356,35 @@ def set_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, ord
     links = written(_verified(_stars(sets.withColumn("label", F.col("fp")), threshold), sets, threshold), "links")
     for _ in range(STARS - 1):
         links = links.union(written(_verified(_stars(_labelled(sets, links), threshold), sets, threshold), "links"))
-    pairs = _cross_pairs(_postings(_labelled(sets, links), threshold, orders, count), threshold)
-    pairs = pairs.groupBy("a", "b").agg(F.bit_or("orders").alias("orders")).filter(F.col("orders") == (1 << orders) - 1).select("a", "b")
+    pairs = _candidates(_labelled(sets, links), threshold, orders, count)
     return links.union(written(_verified(pairs, sets, threshold), "links"))
 
 
+def set_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, orders: int = ORDERS) -> DataFrame:
+    """(a, b, jaccard): every two different sets that match, by fingerprint."""
+    count = buckets(docs, BUCKET_BYTES)
+    sets = written(shared_grams(docs, n, count, threshold), "sets")
+    return written(_verified(_candidates(sets.withColumn("label", F.col("fp")), threshold, orders, count), sets, threshold), "matches")
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = NGRAM, orders: int = ORDERS) -> DataFrame:
-    """doc_id, partner_id, jaccard, group_id of every document that matches another.
+    """doc_id, partner_id, jaccard, group_id of every two documents that match, in both directions.
 
-    group_id is the group's lowest doc_id. Each verified link is given in both
-    directions; documents of equal grams are linked to the lowest of them, which
-    has their other links.
+    group_id is the group's lowest doc_id. Sets are compared once, however many
+    documents have them; all pairs of these documents are given.
     """
     data = documents_only(docs, id_col, text_col)
-    ids = written(set_ids(data, n), "ids")
-    links = set_links(data, threshold, n, orders)
-    labels = components(links)
-    names = ids.groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    groups = names.join(labels, names.fp == labels.node, "left").withColumn("label", F.coalesce("label", "fp"))
-    lowest = groups.groupBy("label").agg(F.min("first").alias("group_id"))
-    named = written(groups.join(lowest, "label").select("fp", "first", "last", "group_id"), "groups")
-    copies = ids.distinct().join(named, "fp").filter("doc_id != first").select("doc_id", F.col("first").alias("partner_id"), F.lit(1.0).alias("jaccard"), "group_id")
-    one, two = named.alias("one"), named.alias("two")
-    near = links.join(one, F.col("a") == F.col("one.fp")).join(two, F.col("b") == F.col("two.fp")).filter("one.first != two.first")
-    near = near.select(F.greatest("one.first", "two.first").alias("doc_id"), F.least("one.first", "two.first").alias("partner_id"), "jaccard", F.col("one.group_id").alias("group_id"))
-    links = copies.union(near)
-    return links.union(links.select(F.col("partner_id").alias("doc_id"), F.col("doc_id").alias("partner_id"), "jaccard", "group_id"))
+    ids = written(set_ids(data, n).distinct(), "ids")
+    pairs = set_pairs(data, threshold, n, orders)
+    labels = components(pairs)
+    named = ids.join(labels, ids.fp == labels.node, "left").select("doc_id", "fp", F.coalesce("label", "fp").alias("label"))
+    lowest = named.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).filter("n > 1")
+    named = written(named.join(lowest, "label").select("doc_id", "fp", "group_id"), "groups")
+    partners = named.select(F.col("fp").alias("partner_fp"), F.col("doc_id").alias("partner_id"))
+    both = pairs.select(F.col("a").alias("fp"), F.col("b").alias("partner_fp"), "jaccard").union(pairs.select("b", "a", "jaccard"))
+    several = named.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp", F.col("fp").alias("partner_fp"), F.lit(1.0).alias("jaccard"))
+    found = both.union(several).join(named, "fp").join(partners, "partner_fp").filter("doc_id != partner_id")
+    return found.groupBy("doc_id", "partner_id").agg(F.max("jaccard").alias("jaccard"), F.min("group_id").alias("group_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = NGRAM, orders: int = ORDERS) -> DataFrame:

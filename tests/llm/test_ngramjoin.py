@@ -92,3 +92,25 @@ def test_components(spark):
     got = dict(rows(components(spark.createDataFrame(edges, "a long, b long"))))
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 104)}}
     assert rows(components(spark.createDataFrame([], "a long, b long"))) == []
+
+
+def near_copies(n, size=60):
+    """Texts with one word of their own, so that all pairs match and no two are equal; each fifth is there twice."""
+    base = [f"base{k}" for k in range(size)]
+    texts = [" ".join([*base[: 5 + k % 40], f"own{k}", *base[6 + k % 40 :]]) for k in range(n)]
+    return list(enumerate(texts + texts[::5]))
+
+
+def test_every_pair_of_brute_force(spark, data):
+    docs = table(spark, data, "documents")
+    for df, rows_ in ((docs, [(r.doc_id, r.text) for r in docs.collect()]), (documents(spark, near_copies(60)), near_copies(60)), (documents(spark), DOCS)):
+        got = rows(ngramjoin.jaccard_join(df))
+        _, pairs = brute_groups(rows_)
+        assert len(got) == 2 * len(pairs) and {(a, b): round(j, 9) for a, b, j, _ in got if a > b} == {k: round(j, 9) for k, j in pairs.items()}
+
+
+def test_pairs_do_not_depend_on_buckets(spark, monkeypatch):
+    docs = documents(spark, near_copies(40))
+    want = sorted(rows(ngramjoin.jaccard_join(docs)))
+    monkeypatch.setattr(ngramjoin, "buckets", lambda *_: 37)
+    assert sorted(rows(ngramjoin.jaccard_join(docs))) == want and len(want) == 48 * 47
