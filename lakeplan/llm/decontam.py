@@ -5,8 +5,8 @@ document holds one, the words that an alignment through it can reach are aligned
 with the item (local alignment over words, linear gaps), unless the words they
 have in common are too few for the score whatever their order. A pair whose best
 alignment leaves one gram intact gets the score of aligning the whole document.
-The score over the item's length is 1 for a copy and falls with every edit. The
-test set is small beside the corpus: it travels to the tasks in shards of at
+The score over the item's length is 1 for a copy and falls with every edit; from
+MIN_WORDS matched words on, an excerpt counts however long its item is. The test set is small beside the corpus: it travels to the tasks in shards of at
 most MAX_GRAMS grams, so no document is shuffled.
 
 Cases: null or empty texts, items and ids match nothing (null-id documents are
@@ -29,6 +29,8 @@ from .kernels import U64, ngrams, ranges, words
 
 NGRAM = 3
 MIN_SCORE = 0.5
+#: Local score, in matched words, that is enough whatever the item's length.
+MIN_WORDS = 30
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Grams of test items sent to the tasks at once.
 MAX_GRAMS = 2_000_000
@@ -106,7 +108,7 @@ def common_words(items: Items, item: np.ndarray, word: np.ndarray, begin: np.nda
 
 
 def align(texts: pa.Array, items: Items, min_score: float = MIN_SCORE) -> list[tuple[int, int, float, int, int]]:
-    """(text, item, score, first word, last word) of the best window of each pair that reaches min_score."""
+    """(text, item, score, first word, last word) of the best window of each pair that reaches min_score, or MIN_WORDS matched words."""
     w = words(texts)
     gram, off = ngrams(w, items.n)
     if not len(gram) or not len(items.unique):
@@ -126,27 +128,29 @@ def align(texts: pa.Array, items: Items, min_score: float = MIN_SCORE) -> list[t
         doc = np.searchsorted(off, hit, "right") - 1
         item, at = items.item[pick], items.at[pick]
         size = np.diff(items.offset)[item]
+        need = np.minimum(min_score * size, MIN_WORDS) * MATCH
         start = hit - off[doc] - at  # where the item would begin
         # Words that an alignment of this score may skip; before and after the seed it skips no more than its matches there pay for.
-        skip = np.floor((1 - min_score) * MATCH * size / -GAP + 1e-9).astype(np.int64)
+        skip = np.floor((MATCH * size - need) / -GAP + 1e-9).astype(np.int64)
         paid = MATCH / -GAP
         begin = np.maximum(start - np.minimum(skip, np.ceil(paid * at).astype(np.int64)), 0)
         end = np.minimum(start + size + np.minimum(skip, np.ceil(paid * (size - at)).astype(np.int64)), np.diff(w.offset)[doc])
         order = np.lexsort((begin, item, doc))
-        doc, item, size, begin, end = doc[order], item[order], size[order], begin[order], end[order]
+        doc, item, size, need, begin, end = doc[order], item[order], size[order], need[order], begin[order], end[order]
         same = np.cumsum(np.diff(doc * len(items.ids) + item, prepend=-1) != 0)
         reach = np.maximum.accumulate(same * (len(w.hash) + 1) + end)  # of the windows so far of the same pair
         new = np.ones(len(doc), bool)
         new[1:] = (same[1:] != same[:-1]) | (begin[1:] > reach[:-1] - same[:-1] * (len(w.hash) + 1))
         first = np.flatnonzero(new)
         end = np.maximum.reduceat(end, first)
-        doc, item, size, begin = doc[first], item[first], size[first], begin[first]
+        doc, item, size, need, begin = doc[first], item[first], size[first], need[first], begin[first]
         base = w.offset[doc]
-        may = np.flatnonzero(MATCH * common_words(items, item, word, base + begin, base + end) >= min_score * MATCH * size - 1e-9)
-        doc, item, size, begin, end, base = doc[may], item[may], size[may], begin[may], end[may], base[may]
-        score = smith_waterman([items.words_of(i) for i in item], [w.hash[s + b : s + e] for s, b, e in zip(base, begin, end)]) / np.maximum(size, 1) / MATCH
-        for d, i, s, b, e in zip(doc.tolist(), item.tolist(), score.tolist(), begin.tolist(), end.tolist()):
-            if s >= min_score and s > best.get((d, i), (0,))[0]:
+        may = np.flatnonzero(MATCH * common_words(items, item, word, base + begin, base + end) >= need - 1e-9)
+        doc, item, size, need, begin, end, base = doc[may], item[may], size[may], need[may], begin[may], end[may], base[may]
+        score = smith_waterman([items.words_of(i) for i in item], [w.hash[s + b : s + e] for s, b, e in zip(base, begin, end)])
+        enough, score = score >= need - 1e-9, score / np.maximum(size, 1) / MATCH
+        for d, i, s, b, e in zip(*(x[enough].tolist() for x in (doc, item, score, begin, end))):
+            if s > best.get((d, i), (0,))[0]:
                 best[d, i] = (s, b, e)
     return [(d, i, *v) for (d, i), v in best.items()]
 

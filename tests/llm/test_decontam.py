@@ -96,3 +96,16 @@ def test_edited_copies_like_exhaustive_alignment(spark, size):
     got = {r[0]: r[2] for r in rows(decontam.contaminated(docs, parts))}
     assert len(want) >= 50 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
     assert decontam.drop_contaminated(docs, parts).count() == len(texts) - len(want)
+
+
+def test_excerpts_of_long_items(spark):
+    """60 words of a 200-word passage are found, with their share as the score; 29 are not."""
+    passage, fill = [f"passage{k}" for k in range(200)], [f"filler{k}" for k in range(90)]
+    cuts = [(40, 100), (140, 200), (0, 30), (80, 109)]
+    edited = [f"edit{k}" if k % 5 == 4 else w for k, w in enumerate(passage[20:90])]
+    texts = [fill + passage[a:b] + fill for a, b in cuts] + [fill + edited + fill]
+    docs = documents(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])
+    parts = decontam.prepared(docs, items(spark, [(1, " ".join(passage))]))
+    got = {r[0]: r[2] for r in rows(decontam.contaminated(docs, parts))}
+    assert got.keys() == {0, 1, 2, 4} and all(abs(got[k] - local_score(passage, texts[k]) / 200) < 1e-6 for k in got)
+    assert decontam.drop_contaminated(docs, parts).count() == 1
