@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -26,12 +27,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_scratch: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and the rows survive lost executors."""
+    """Write df as Parquet in the shared folder and read it back: lineage ends there and the rows survive lost executors.
+
+    The table stays until ``discard`` or the end of the ``scratch`` block around it.
+    """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t.written_to)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove what operators wrote inside the block at its end; their results must be written or collected by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _remove(spark, path)
 
 
 def plan_bytes(df: DataFrame) -> int | None:
@@ -65,23 +99,9 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES, rows: int
         at = end
 
 
-def map_slices(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, most: int = SLICE_BYTES) -> DataFrame:
-    """mapInArrow over runs of rows of bounded text size."""
-
-    def run(batches):
-        for b in batches:
-            for s in slices(b, text, most):
-                yield from fn(s)
-
-    return df.mapInArrow(run, schema)
-
-
-def binary_array(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
-
-
 def documents_only(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) of the rows that have an id; null text counts as empty. Other columns, whatever their names, are left out."""
+    ship(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).filter("doc_id is not null")
 
 

@@ -44,13 +44,14 @@ def test_targets_are_reached(spark, trained):
     assert np.abs(share - want / want.sum()).max() < 0.01
 
 
-@pytest.mark.parametrize("floor", [0.0, 0.6])
-def test_rates_are_those_of_brute_force(spark, trained, floor):
+@pytest.mark.parametrize("floor,start_rows", [(0.0, 4096), (0.6, 4096), (0.0, 10)])
+def test_rates_are_those_of_brute_force(spark, trained, monkeypatch, floor, start_rows):
+    monkeypatch.setattr(mixing, "START_ROWS", start_rows)
     docs, model = trained
     post = mixing.posteriors(docs, model)
     pd = post.toPandas()
     p, n = np.stack(pd.p.to_numpy()), pd.n_tokens.to_numpy(float)
-    plan = mixing.fit_rates(post, model.names, mixing.WEIGHTS, floor=floor, steps=400, tolerance=0)
+    plan = mixing.fit_rates(post, model.names, mixing.WEIGHTS, floor=floor, tolerance=0)
     best = least_squares(p, n, plan.targets, floor, plan.ridge)
     r = plan.rates(p)
     assert r.min() >= floor and loss(r, p, n, plan.targets, plan.ridge) <= 1.01 * best + 1e-6 * n.sum()
@@ -85,12 +86,35 @@ def test_no_labels(spark):
 
 def test_rows_repeat_as_rates_say(spark, trained):
     docs, model = trained
-    plan = mixing.fit_rates(mixing.posteriors(docs, model), model.names, {"high": 0.95, "low": 0.04, "toxic": 0.01}, budget="grow", floor=1.0)
-    out = mixing.apply_rates(docs, model, plan)
+    scored = mixing.posteriors(docs, model, whole=True)
+    plan = mixing.fit_rates(scored, model.names, {"high": 0.95, "low": 0.04, "toxic": 0.01}, budget="grow", floor=1.0)
+    out = mixing.apply_rates(scored, plan)
     assert out.columns == docs.columns
     per = {r.doc_id: r.n for r in out.groupBy("doc_id").agg({"*": "count"}).toDF("doc_id", "n").collect()}
     base = {r.doc_id: r.n for r in docs.groupBy("doc_id").agg({"*": "count"}).toDF("doc_id", "n").collect()}
     assert set(per) == set(base) and all(per[i] >= base[i] for i in base) and sum(per.values()) > sum(base.values())
     again = documents(spark)
-    kept = mixing.apply_rates(again, model, plan)
+    kept = mixing.apply_rates(mixing.posteriors(again, model, whole=True), plan)
     assert kept.columns == again.columns and {str(r.doc_id) for r in kept.collect()} == {str(i) for i, _ in DOCS}
+    assert rows(mixing.apply_rates(mixing.posteriors(no_documents(spark), model, whole=True), plan)) == []
+
+
+@pytest.mark.parametrize("i", [None, 7])
+def test_equal_rows_draw_their_own_copies(spark, i):
+    """400 rows of one id, or none, at rate 1.5 are about 600 rows, not 400 or 800; the same again if read again."""
+    model = mixing.train(documents(spark), labels(spark, []))
+    scored = mixing.posteriors(documents(spark, [(i, "one text for all of them")] * 400), model, whole=True)
+    plan = mixing.Plan(np.ones(1), 1.0, 1.5, 1e-4)
+    out = mixing.apply_rates(scored, plan)
+    assert 540 < out.count() < 660 and out.count() == out.count()
+
+
+def test_targets_out_of_reach_are_told(spark, trained):
+    docs, model = trained
+    post = mixing.posteriors(docs, model)
+    with pytest.warns(UserWarning, match="out of reach"):
+        plan = mixing.fit_rates(post, model.names, {"high": 1.0}, floor=1.0)
+    assert not plan.reached and np.isfinite(plan.totals).all()
+    pd = post.toPandas()
+    p, n = np.stack(pd.p.to_numpy()), pd.n_tokens.to_numpy(float)
+    assert loss(plan.rates(p), p, n, plan.targets, plan.ridge) <= 1.01 * least_squares(p, n, plan.targets, 1.0, plan.ridge) + 1e-6 * n.sum()

@@ -2,10 +2,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lakeplan.llm import toxicity
+from lakeplan.llm import linear, toxicity
 from lakeplan.llm.common import table
 from lakeplan.llm.kernels import words
-from lakeplan.llm.linear import word_features
+from lakeplan.llm.linear import counted, word_features
 
 from .util import DOCS, documents, no_documents, rows
 
@@ -37,14 +37,65 @@ def test_swaps_take_the_weight_from_names(spark):
     assert gap[20.0] < gap[0.0] / 3
 
 
-def test_swapped_sentences():
-    text = "Nothing here. The muslim mayor, smiling, spoke! Women and men agreed"
-    got = toxicity.swapped_sentences(pa.array([text, None, "", "none"]))
-    left, right = toxicity.unpack_pairs(got)
-    assert got[1:] == [b"", b"", b""] and len(left) == len(right) == 3 * toxicity.SWAPS
-    want = word_features(words(pa.array(["the muslim mayor smiling spoke"]))).ravel()
-    assert (left[0] == want).all() and (left[0] != right[0]).sum() <= 3
-    assert len(toxicity.unpack_pairs(got, 4)[0]) == 4
+KINDS = {"faith": "muslim christian african-american jewish", "sex": "women men"}
+SENTENCES = [(["the", "muslim", "mayor", "muslim", "christ"], 1, 1, "muslim", "faith"), (["the", "muslim", "mayor", "muslim", "christ"], 3, 1, "muslim", "faith"), (["women", "and", "men", "agreed"], 0, 1, "women", "sex"), (["women", "and", "men", "agreed"], 2, 1, "men", "sex"), (["an", "african", "american", "spoke"], 1, 2, "african-american", "faith")]
+SWAP_TEXT = "Nothing here. The muslim mayor, muslim Christ! Women and men agreed\nAn African-American spoke"
+
+
+def values(sentence, n):
+    """Value of each feature of a list of words."""
+    _, f, c = counted(np.zeros(3 * len(sentence), np.int64), word_features(words(pa.array([" ".join(sentence)]))).ravel())
+    return dict(zip(f.tolist(), np.log1p(c) / np.sqrt(n + linear.SHORT)))
+
+
+def brute_changes():
+    """Change of each feature's value for every mention and every other name of its kind."""
+    out = []
+    for sentence, at, n, name, kind in SENTENCES:
+        for other in KINDS[kind].split():
+            if other != name:
+                a, b = values(sentence, len(sentence)), values([*sentence[:at], *other.split("-"), *sentence[at + n :]], len(sentence))
+                out.append({f: b.get(f, 0) - a.get(f, 0) for f in {*a, *b}})
+    return out
+
+
+def test_swap_sums_are_those_of_brute_force(spark):
+    got = toxicity.mentions(pa.array([SWAP_TEXT, None, "", "none"]), KINDS)
+    assert got[1:] == [b"", b"", b""]
+    gram, n = toxicity.swap_sums(got, KINDS)
+    features, want = toxicity.terms(KINDS).features, brute_changes()
+    d = np.array([[c.get(int(f), 0.0) for f in features] for c in want])
+    assert n == len(want) == 11 and all(abs(v) < 1e-12 for c in want for f, v in c.items() if f not in set(features.tolist()))
+    assert np.allclose(gram, d.T @ d)
+    df = spark.createDataFrame([(bytearray(x),) for x in got * 3], "extra binary").repartition(3)
+    spread = toxicity.swaps(df, KINDS)
+    assert spread.n == 3 * n and np.allclose(spread.gram, 3 * gram)
+
+
+def test_every_name_is_swapped_for_every_other():
+    known = toxicity.terms(toxicity.IDENTITY_TERMS)
+    names = [k.split() for k in toxicity.IDENTITY_TERMS.values()]
+    for k, kind in enumerate(names):
+        got = toxicity.mentions(pa.array([f"We met {t} there." for t in kind]))
+        assert all(got), kind
+        assert toxicity.swap_sums(got)[1] >= len(kind) * (len(kind) - 1) and len(known.kinds[k][1]) == len(kind)
+
+
+def test_loss_and_gradient_by_finite_differences():
+    rng = np.random.default_rng(5)
+    vocab = np.sort(np.append(toxicity.terms(KINDS).features, rng.integers(1, 1 << 60, 30).astype(np.uint64)))
+    row, col = np.nonzero(rng.random((20, len(vocab))) < 0.3)
+    sample = linear.Sample(rng.integers(0, 2, 20), np.zeros(20, np.int64), rng.integers(5, 50, 20), row, col, rng.integers(1, 4, len(row)), vocab)
+    gram, n = toxicity.swap_sums(toxicity.mentions(pa.array([SWAP_TEXT]), KINDS), KINDS)
+    scale, x, h = rng.random(len(vocab)) + 0.5, rng.normal(size=2 * len(vocab) + 2), 1e-6
+    plain, loss = (linear.loss_of(sample, vocab, scale, 2, 1e-3, linear.Swaps(toxicity.terms(KINDS).features, gram, n), p, True) for p in (0.0, 3.0))
+    value, grad = loss(x)
+    w = dict(zip(vocab.tolist(), x[: 2 * len(vocab)].reshape(-1, 2) * scale[:, None]))
+    change = [sum(v * w[f] for f, v in c.items() if f in w) for c in brute_changes()]
+    assert np.isclose(value - plain(x)[0], 3.0 * np.mean([(c * c).sum() for c in change]))
+    for i in rng.integers(0, len(x), 40):
+        e = np.eye(len(x))[i] * h
+        assert np.isclose((loss(x + e)[0] - loss(x - e)[0]) / 2 / h, grad[i], rtol=1e-4, atol=1e-7)
 
 
 @pytest.fixture(scope="module")
