@@ -40,8 +40,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = mixing.train(docs, table(spark, sf_dir, "labels"), QUALITY)
-    plan = mixing.fit_rates(mixing.posteriors(docs, model), model.names, SHARES, budget="grow", floor=1.0)
-    return mixing.apply_rates(docs, model, plan)
+    scored = mixing.posteriors(docs, model, whole=True)
+    return mixing.apply_rates(scored, mixing.fit_rates(scored, model.names, SHARES, budget="grow", floor=1.0))
 
 
 def token_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
