@@ -2,26 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
+
+#: Edges (16 bytes each) that one task labels at once; more are labelled in rounds of joins.
+ONE_TASK = 1_000_000
+
+
+def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of the (u, v) rows of one task."""
+    parts = [(b["u"].to_numpy(), b["v"].to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    nodes, at = np.unique(np.concatenate([x for p in zip(*parts) for x in p]), return_inverse=True)
+    u, v = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        low = label.copy()
+        least = np.minimum(label[u], label[v])
+        for x in (u, v, label[u], label[v]):  # a node's present label learns of the lower one too
+            np.minimum.at(low, x, least)
+        while (low != low[low]).any():
+            low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "label"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): every node that an edge names, and the lowest node of its component.
 
-    Each round takes the lowest label among a node and its neighbours and then
-    that label's own label, so the rounds needed grow with the logarithm of a
-    chain's length. Each round is a written table: lost executors cost no lineage.
+    Up to ONE_TASK edges are labelled by one task. Beyond, each round takes the
+    lowest label among a node and its neighbours and then that label's own label,
+    so the rounds needed grow with the logarithm of a chain's length; each round
+    is a written table: lost executors cost no lineage.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).filter("u != v").distinct()
-    both = written(both, "edges")
+    one = written(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u != v").distinct(), "edges")
+    if one.count() <= ONE_TASK:
+        return written(one.coalesce(1).mapInArrow(_label, "node long, label long"), "labels")
+    both = written(one.union(one.select("v", "u")), "edges")
     labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
     while True:
         seen = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("m"))
         low = labels.join(seen, labels.node == seen.u).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        labels = written(low.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        new = written(low.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        discard(labels)
+        labels = new
         if not labels.filter("label != old").limit(1).count():
+            discard(one, both)
             return labels.select("node", "label")

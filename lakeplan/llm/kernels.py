@@ -158,23 +158,25 @@ def ngrams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h), off
 
 
-GRAM_BITS = 48
-GRAM_MASK = U64((1 << GRAM_BITS) - 1)
-
-
 def unique_per_text(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 48-bit fingerprints of each text's hashes, sorted within it; at most 65,536 texts.
+    """Distinct hashes of each text, in a fixed order within it; at most 65,536 texts.
 
-    Text index and fingerprint share one 64-bit key, so one plain sort orders both.
+    Text index and the first 48 bits share one 64-bit key, so one plain sort orders
+    both; should two hashes of a text differ only behind these bits, all bits are sorted.
     """
     if not len(h):
         return h, off
     doc = np.repeat(np.arange(len(off) - 1, dtype=U64), np.diff(off))
-    key = np.sort((doc << U64(GRAM_BITS)) | (h & GRAM_MASK))
+    key = (doc << U64(48)) | (h >> U64(16))
+    order = np.argsort(key)
+    key, h = key[order], h[order]
+    if ((key[1:] == key[:-1]) & (h[1:] != h[:-1])).any():
+        order = np.lexsort((h, key))
+        key, h = key[order], h[order]
     keep = np.ones(len(key), bool)
-    keep[1:] = key[1:] != key[:-1]
+    keep[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
     key = key[keep]
-    return key & GRAM_MASK, np.searchsorted(key >> U64(GRAM_BITS), np.arange(len(off), dtype=U64)).astype(np.int64)
+    return h[keep], np.searchsorted(key >> U64(48), np.arange(len(off), dtype=U64)).astype(np.int64)
 
 
 _BYTE_AT = [_BYTE * _POW[k] for k in range(16)]

@@ -1,40 +1,45 @@
 """Operator 4: n-gram Jaccard join with filters under several global token orders.
 
 Two documents match if their sets of word n-grams have a Jaccard similarity of
-at least ``threshold``; documents linked by matches form a group.
-
-1. Every text's grams go to hash buckets as packed 48-bit fingerprints. A bucket
-   counts in how many distinct sets each gram occurs; grams of one set can match
-   nothing and end there. The rest return to their set as (bucket, rank) tokens
-   with their document frequency.
-2. Sets with equal contents are one set, named by its fingerprint.
+at least ``threshold``; documents linked by matches form a class.
+
+1. Every text's grams go to hash buckets. A bucket counts in how many distinct
+   sets each gram occurs; grams of one set can match nothing and end there. The
+   rest return to their set as (bucket, rank) tokens with their document
+   frequency. Within a bucket 48 bits of a gram are kept; as buckets stay of one
+   size, so does the chance that two grams share them (about 1 in 10^8 grams).
+2. Sets with equal contents are one set, named by its 64-bit fingerprint.
 3. A set's prefix under an order is the part of which two matching sets must
    share a token: size - ceil(threshold * size) + 1 grams, the rarest first.
    Grams of one set fill the front of every prefix, so most documents, having
    mostly own grams, send nothing at all.
-4. All pairs of sets that share a prefix token under EVERY order are verified;
-   ``jaccard_join`` returns each that matches. ``keep_one`` needs only the groups:
-   there each set is first compared with a leading set of a few of its tokens,
-   which joins copies by a number of comparisons linear in the copies, and then
-   only pairs of sets from different groups are verified.
+4. Pairs of sets that share a prefix token under EVERY order are verified by
+   their whole sets. So that no list of pairs grows with the square of a class,
+   each set is first compared with a leading set of a few of its tokens, which
+   joins copies by a number of comparisons linear in the copies; then pairs of
+   sets from different classes are listed and verified. Every match is inside a
+   class now, and ``jaccard_classes`` counts them class by class: blocks of a
+   class meet in pairs, in tasks of their own, under the same filters.
 
 Cases: null ids and null, empty or word-less texts match nothing; texts shorter
-than NGRAM words have one gram of all their words; a repeated row is an exact
-copy; rows of one id with different texts are joined like any documents, but
-never reported as a pair of one id; very long texts are taken whole; an empty
-table gives no rows; other columns, whatever their names, are ignored.
+than NGRAM words have one gram of all their words; a repeated row is one document;
+rows of one id with different texts are documents of their own, linked like any
+others; very long texts are taken whole; ties of similarity with the threshold
+match; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import buckets, documents_only, join_ids, light, slices, table, written
+from .common import buckets, discard, documents_only, join_ids, light, slices, table, written
 from .components import components
-from .kernels import GRAM_MASK, U64, mix, ngrams, ranges, unique_per_text, words
+from .kernels import U64, mix, ngrams, ranges, unique_per_text, words
 
 NGRAM = 3
 THRESHOLD = 0.5
@@ -46,7 +51,11 @@ FIRST = 8
 STARS = 2
 #: Bytes of Parquet for each bucket of grams.
 BUCKET_BYTES = 12 << 20
+#: Sets, and bytes of their tokens, in a block of a class; sets of one leader or block that a task takes at once.
+BLOCK, BLOCK_BYTES = 1024, 64 << 20
+PARTNERS = 512
 _FLUSH = 3_000_000
+_GRID = 1 << 20
 
 
 def gram_sets(texts: pa.Array, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,19 +67,6 @@ def gram_sets(texts: pa.Array, n: int = NGRAM) -> tuple[np.ndarray, np.ndarray,
     return g, off, np.where(np.diff(off) > 0, fp, U64(0))
 
 
-def set_ids(docs: DataFrame, n: int = NGRAM) -> DataFrame:
-    """(doc_id, fp) of every document (doc_id, text) that has a gram."""
-
-    def run(batches):
-        for b in batches:
-            for s in slices(b, "text"):
-                fp = gram_sets(s.column("text"), n)[2]
-                keep = fp != 0
-                yield pa.RecordBatch.from_arrays([s.column("doc_id").filter(pa.array(keep)), pa.array(fp[keep].view(np.int64))], names=["doc_id", "fp"])
-
-    return docs.mapInArrow(run, "doc_id long, fp long")
-
-
 def _packed(parts: list[tuple], count: int) -> pa.RecordBatch:
     """Rows (bucket, fps, sizes, counts, grams) of accumulated (fp, size, grams, offsets)."""
     fp = np.concatenate([p[0] for p in parts])
@@ -94,29 +90,44 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_buffer() for x in column if x.is_valid), kind)
 
 
-def shared_grams(docs: DataFrame, n: int, count: int, threshold: float) -> DataFrame:
-    """(fp, size, tokens, levels) of every set whose prefix has a gram that another set has too; no other set can match.
+_SETS = "fp long, size long, tokens binary, levels binary, doc_id long"
+
+
+def set_table(docs: DataFrame, n: int, count: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Written (fp, size, tokens, levels) of every set whose prefix has a gram that another set has too, as no other can match, and (doc_id, fp) of every row with a gram.
 
     tokens are bucket * 2^32 + rank of the gram among the bucket's shared grams;
-    levels are their document frequencies on a quarter-octave scale.
+    levels are their document frequencies on a quarter-octave scale. Both come
+    from one pass over the texts: ids travel along in buckets below 0.
     """
 
     def spread(batches):
-        parts, held = [], 0
+        parts, ids, held = [], [], 0
+
+        def flush():
+            doc_id, fp = (np.concatenate(x) for x in zip(*ids))
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - int(fp[0] % U64(count))], pa.int32()), *(pa.array([x], pa.binary()) for x in (fp.tobytes(), b"", b"", doc_id.tobytes()))], names=["bucket", "fps", "sizes", "counts", "grams"])
+            yield _packed(parts, count)
+
         for b in batches:
             for s in slices(b, "text"):
                 g, off, fp = gram_sets(s.column("text"), n)
                 size = np.diff(off)
-                parts.append((fp[size > 0], size[size > 0], g))
+                if len(g):
+                    parts.append((fp[size > 0], size[size > 0], g))
+                    ids.append((s.column("doc_id").to_numpy()[size > 0], fp[size > 0]))
                 held += len(g)
                 if held >= _FLUSH:
-                    yield _packed(parts, count)
-                    parts, held = [], 0
+                    yield from flush()
+                    parts, ids, held = [], [], 0
         if held:
-            yield _packed(parts, count)
+            yield from flush()
 
     def matched(key, rows):
         bucket = int(key[0].as_py())
+        if bucket < 0:
+            none = pa.nulls(len(rows), pa.binary())
+            return pa.table([pa.array([bucket] * len(rows), pa.int32()), pa.array([bucket] * len(rows), pa.int32()), rows["fps"], none, none, rows["grams"], none], names=["dest", "bucket", "fps", "sizes", "counts", "tokens", "levels"])
         fp, size, cnt = _joined(rows["fps"], U64), _joined(rows["sizes"], np.uint32), _joined(rows["counts"], np.uint32)
         raw = np.frombuffer(b"".join(x.as_buffer() for x in rows["grams"]), np.uint8).reshape(-1, 6)
         wide = np.zeros((len(raw), 8), np.uint8)
@@ -154,6 +165,9 @@ def shared_grams(docs: DataFrame, n: int, count: int, threshold: float) -> DataF
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), *[pa.binary()] * 5))], names=["dest", "bucket", "fps", "sizes", "counts", "tokens", "levels"])
 
     def gathered(key, rows):
+        if key[0].as_py() < 0:
+            fp, doc_id = _joined(rows["fps"], np.int64), _joined(rows["tokens"], np.int64)
+            return pa.table([pa.array(fp), pa.array(np.zeros(len(fp), np.int64)), pa.nulls(len(fp), pa.binary()), pa.nulls(len(fp), pa.binary()), pa.array(doc_id)], names=["fp", "size", "tokens", "levels", "doc_id"])
         fp, size, cnt = _joined(rows["fps"], U64), _joined(rows["sizes"], np.uint32), _joined(rows["counts"], np.uint32)
         per = [len(x.as_buffer()) // 4 for x in rows["tokens"]]
         token = _joined(rows["tokens"], np.uint32).astype(U64) + (np.repeat(rows["bucket"].to_numpy().astype(U64), per) << U64(32))
@@ -165,11 +179,12 @@ def shared_grams(docs: DataFrame, n: int, count: int, threshold: float) -> DataF
         cut = np.append(first, len(owner))
         size = size[np.unique(fp, return_index=True)[1]].astype(np.int64)
         keep = np.flatnonzero(size - np.ceil(threshold * size - 1e-9) + 1 > size - np.diff(cut))
-        return pa.table([pa.array(owner[first[keep]].view(np.int64)), pa.array(size[keep]), pa.array([token[cut[i] : cut[i + 1]].tobytes() for i in keep], pa.binary()), pa.array([level[cut[i] : cut[i + 1]].tobytes() for i in keep], pa.binary())], names=["fp", "size", "tokens", "levels"])
+        return pa.table([pa.array(owner[first[keep]].view(np.int64)), pa.array(size[keep]), pa.array([token[cut[i] : cut[i + 1]].tobytes() for i in keep], pa.binary()), pa.array([level[cut[i] : cut[i + 1]].tobytes() for i in keep], pa.binary()), pa.nulls(len(keep), pa.int64())], names=["fp", "size", "tokens", "levels", "doc_id"])
 
-    packed = docs.select("text").mapInArrow(spread, "bucket int, fps binary, sizes binary, counts binary, grams binary")
+    packed = docs.select("doc_id", "text").mapInArrow(spread, "bucket int, fps binary, sizes binary, counts binary, grams binary")
     back = packed.groupBy("bucket").applyInArrow(matched, "dest int, bucket int, fps binary, sizes binary, counts binary, tokens binary, levels binary")
-    return back.groupBy("dest").applyInArrow(gathered, "fp long, size long, tokens binary, levels binary")
+    all_ = written(back.groupBy("dest").applyInArrow(gathered, _SETS), "sets")
+    return all_.filter("size > 0").drop("doc_id"), all_.filter("size = 0").select("doc_id", "fp")
 
 
 def prefix_length(size: int, threshold: float) -> int:
@@ -295,8 +310,9 @@ def _cross_pairs(postings: DataFrame, threshold: float) -> DataFrame:
         for f, n in zip(first.tolist(), width.tolist()):
             x, bit = own[f : f + n], int(token[f] >> U64(32))
             x = x[np.argsort(rank[x])]
-            for i in range(0, n, 1024):
-                a, b = np.meshgrid(np.arange(i, min(i + 1024, n)), np.arange(n), indexing="ij")
+            wide = min(n, 4096)
+            for i, j in ((i, j) for i in range(0, n, _GRID // wide) for j in range(0, n, wide) if j + wide > i):
+                a, b = np.meshgrid(np.arange(i, min(i + _GRID // wide, n)), np.arange(j, min(j + wide, n)), indexing="ij")
                 ok = a < b
                 a, b = x[a[ok]], x[b[ok]]
                 ok = (label[a] != label[b]) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9)
@@ -322,26 +338,100 @@ def _candidates(sets: DataFrame, threshold: float, orders: int, count: int) -> D
     return pairs.groupBy("a", "b").agg(F.bit_or("orders").alias("orders")).filter(F.col("orders") == (1 << orders) - 1).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs that match, by their whole sets."""
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, orders: int) -> DataFrame:
+    """Written (a, b, jaccard) of the pairs (a, b) that match, by their whole sets.
+
+    A leader a of many sets meets them in several tasks, PARTNERS at a time.
+    """
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("fp"), "a", F.lit(None).cast("long").alias("b")).distinct().union(pairs.select(F.col("b").alias("fp"), "a", "b"))
-    sent = sets.select("fp", "size", "tokens").join(light(wanted), "fp").select("a", "b", "size", "tokens")
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")).filter("parts > 1")
+    parted = pairs.join(many.withColumnRenamed("a", "lead"), F.col("a") == F.col("lead"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
+    wanted = parted.select(F.col("a").alias("fp"), "a", "part", F.lit(None).cast("long").alias("b")).distinct().union(parted.select(F.col("b").alias("fp"), "a", "part", "b"))
+    jobs = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // (2 * PARTNERS)))
+    sent = sets.select("fp", "size", "tokens", "levels").join(wanted, "fp").select(F.pmod(F.xxhash64("a", "part"), F.lit(jobs)).alias("job"), "a", "part", "b", "size", "tokens", "levels")
 
     def run(key, rows):
-        b, size, tokens = rows["b"].to_pylist(), rows["size"].to_pylist(), rows["tokens"]
-        at = b.index(None)
-        mine, out = np.sort(np.frombuffer(tokens[at].as_py(), U64)), []
-        for i, other in enumerate(b):
-            if other is not None:
-                t = np.frombuffer(tokens[i].as_buffer(), U64)
-                both = int((mine[np.minimum(np.searchsorted(mine, t), len(mine) - 1)] == t).sum())
-                j = both / (size[at] + size[i] - both)
-                if j >= threshold - 1e-12:
-                    out.append((key[0].as_py(), other, j))
-        return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "jaccard"])
+        out = []
+        for i, j in _runs(rows, ["a", "part"]):  # the leader has no b and comes first
+            jac = Block(rows, i, i + 1, threshold, orders).similar(Block(rows, i + 1, j, threshold, orders))[0]
+            hit = np.flatnonzero(jac)
+            out.append((np.full(len(hit), rows["a"][i].as_py()), rows["b"].slice(i + 1, j - i - 1).to_numpy()[hit], jac[hit]))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 3
+        return pa.table([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int64, float))], names=["a", "b", "jaccard"])
+
+    out = written(sent.groupBy("job").applyInArrow(lambda k, t: run(k, _sorted(t, ["a", "part", "b"])), "a long, b long, jaccard double"), "links")
+    discard(pairs)
+    return out
+
 
-    return sent.groupBy("a").applyInArrow(run, "a long, b long, jaccard double")
+def _sorted(rows: pa.Table, by: list[str]) -> pa.Table:
+    """Rows by the columns, nulls first, in one chunk."""
+    import pyarrow.compute as pc
+
+    return rows.take(pc.sort_indices(rows, [(c, "ascending") for c in by], null_placement="at_start")).combine_chunks()
+
+
+def _runs(rows: pa.Table, by: list[str]) -> Iterator[tuple[int, int]]:
+    """(from, to) of the runs of sorted rows that are equal in the columns."""
+    if len(rows):
+        new = np.ones(len(rows), bool)
+        cols = [rows[c].to_numpy() for c in by]
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        first = np.flatnonzero(new)
+        yield from zip(first.tolist(), np.append(first[1:], len(rows)).tolist())
+
+
+class Block:
+    """Some sets: sizes, all their tokens and their prefixes under each order, each as (token, owner) arrays."""
+
+    def __init__(self, rows: pa.Table, i: int, j: int, threshold: float, orders: int):
+        part = rows.slice(i, j - i)
+        tokens = [np.frombuffer(x.as_buffer(), U64) for x in part["tokens"]]
+        self.size = part["size"].to_numpy().astype(np.float64)
+        cut = [prefixes(int(s), t, np.frombuffer(v.as_buffer(), np.uint8), threshold, orders) for s, t, v in zip(self.size, tokens, part["levels"])]
+        self.parts = [self._listed([c[k] for c in cut]) for k in range(orders)]
+        self.all, self.threshold = self._listed(tokens), threshold
+
+    @staticmethod
+    def _listed(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(tokens), np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+
+    def similar(self, other: Block) -> np.ndarray:
+        """Jaccard similarity of each pair that passes all filters and matches, else 0."""
+        low, high = np.minimum.outer(self.size, other.size), np.maximum.outer(self.size, other.size)
+        may = low >= self.threshold * high - 1e-9
+        for a, b in zip(self.parts, other.parts):
+            if may.any():
+                may &= overlap(a, b, may.shape) > 0
+        if not may.any():
+            return np.zeros(may.shape)
+        both = overlap(self.all, other.all, may.shape)
+        jac = both / (low + high - both)
+        return np.where(may & (jac >= self.threshold - 1e-12), jac, 0.0)
+
+
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """Number of tokens that each set of a shares with each of b: products of incidence matrices of some tokens at a time."""
+    out = np.zeros(shape, np.float32)
+    common = np.intersect1d(a[0], b[0])
+    if not len(common):
+        return out
+    sides = []
+    for token, owner in (a, b):
+        at = np.minimum(np.searchsorted(common, token), len(common) - 1)
+        ok = common[at] == token
+        order = np.argsort(at[ok], kind="stable")
+        sides.append((at[ok][order], owner[ok][order]))
+    width = max(256, min(len(common), _GRID // max(max(shape), 1)))
+    for k in range(0, len(common), width):
+        m = []
+        for (at, owner), n in zip(sides, shape):
+            i, j = np.searchsorted(at, [k, k + width])
+            x = np.zeros((n, min(width, len(common) - k)), np.float32)
+            x[owner[i:j], at[i:j] - k] = 1
+            m.append(x)
+        out += m[0] @ m[1].T
+    return out
 
 
 def _labelled(sets: DataFrame, edges: DataFrame) -> DataFrame:
@@ -349,42 +439,67 @@ def _labelled(sets: DataFrame, edges: DataFrame) -> DataFrame:
     return sets.join(labels, sets.fp == labels.node, "left").select("fp", "size", "tokens", "levels", F.coalesce("label", "fp").alias("label"))
 
 
-def set_links(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, orders: int = ORDERS) -> DataFrame:
+def set_links(sets: DataFrame, count: int, threshold: float = THRESHOLD, orders: int = ORDERS) -> DataFrame:
     """(a, b, jaccard): verified pairs of sets, by fingerprint, whose components are those of all matching pairs."""
-    count = buckets(docs, BUCKET_BYTES)
-    sets = written(shared_grams(docs, n, count, threshold), "sets")
-    links = written(_verified(_stars(sets.withColumn("label", F.col("fp")), threshold), sets, threshold), "links")
+    links = _verified(_stars(sets.withColumn("label", F.col("fp")), threshold), sets, threshold, orders)
     for _ in range(STARS - 1):
-        links = links.union(written(_verified(_stars(_labelled(sets, links), threshold), sets, threshold), "links"))
+        links = links.union(_verified(_stars(_labelled(sets, links), threshold), sets, threshold, orders))
     pairs = _candidates(_labelled(sets, links), threshold, orders, count)
-    return links.union(written(_verified(pairs, sets, threshold), "links"))
+    return links.union(_verified(pairs, sets, threshold, orders))
 
 
-def set_pairs(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, orders: int = ORDERS) -> DataFrame:
-    """(a, b, jaccard): every two different sets that match, by fingerprint."""
-    count = buckets(docs, BUCKET_BYTES)
-    sets = written(shared_grams(docs, n, count, threshold), "sets")
-    return written(_verified(_candidates(sets.withColumn("label", F.col("fp")), threshold, orders, count), sets, threshold), "matches")
-
+def match_counts(sets: DataFrame, weights: DataFrame, threshold: float = THRESHOLD, orders: int = ORDERS) -> DataFrame:
+    """(fp, n): for each set of (fp, size, tokens, levels, label), the weights (fp, weight) of the other sets of its label that match, summed.
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = NGRAM, orders: int = ORDERS) -> DataFrame:
-    """doc_id, partner_id, jaccard, group_id of every two documents that match, in both directions.
+    A label's sets fall into blocks; each two of its blocks are compared in one
+    task, so a class of any size is spread, and only counts leave the tasks.
+    """
+    known = sets.join(weights, "fp")
+    blocks = known.groupBy("label").agg(F.count("*").alias("k"), F.sum(F.length("tokens")).alias("bytes")).filter("k > 1")
+    blocks = written(blocks.select("label", F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), "k"), "blocks")
+    rows = blocks.agg(F.sum(F.col("k") * F.col("blocks"))).first()[0] or 0
+    jobs = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // (2 * BLOCK)))
+    mine = known.join(light(blocks.drop("k")), "label").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    met = mine.select("fp", "size", "tokens", "levels", "weight", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("fp", "size", "tokens", "levels", "weight", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).withColumn("job", F.pmod(F.xxhash64("label", "i", "j"), F.lit(jobs)))
 
-    group_id is the group's lowest doc_id. Sets are compared once, however many
-    documents have them; all pairs of these documents are given.
+    def run(key, rows):
+        rows, out = _sorted(rows, ["label", "i", "j", "block"]), []
+        for i, j in _runs(rows, ["label", "i", "j"]):
+            sides = [(i + a, i + b) for a, b in _runs(rows.slice(i, j - i), ["block"])]
+            if len(sides) == 1 and rows["i"][i] != rows["j"][i]:
+                continue  # the other block is empty
+            blocks_ = [Block(rows, a, b, threshold, orders) for a, b in sides]
+            hit = blocks_[0].similar(blocks_[-1]) > 0
+            if len(sides) == 1:
+                np.fill_diagonal(hit, False)
+            for (a, b), (c, d), h in ((sides[0], sides[-1], hit), (sides[-1], sides[0], hit.T))[: len(sides)]:
+                out.append((rows["fp"].slice(a, b - a).to_numpy(), h @ rows["weight"].slice(c, d - c).to_numpy()))
+        fp, n = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.table([pa.array(fp[n > 0]), pa.array(n[n > 0])], names=["fp", "n"])
+
+    return met.groupBy("job").applyInArrow(run, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = NGRAM, orders: int = ORDERS) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies of every document that matches another.
+
+    class_id is the lowest doc_id of the documents that matches link to it;
+    n_links counts the documents that it matches itself, n_copies those of them
+    that have the very same set of grams.
     """
     data = documents_only(docs, id_col, text_col)
-    ids = written(set_ids(data, n).distinct(), "ids")
-    pairs = set_pairs(data, threshold, n, orders)
-    labels = components(pairs)
-    named = ids.join(labels, ids.fp == labels.node, "left").select("doc_id", "fp", F.coalesce("label", "fp").alias("label"))
-    lowest = named.groupBy("label").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")).filter("n > 1")
-    named = written(named.join(lowest, "label").select("doc_id", "fp", "group_id"), "groups")
-    partners = named.select(F.col("fp").alias("partner_fp"), F.col("doc_id").alias("partner_id"))
-    both = pairs.select(F.col("a").alias("fp"), F.col("b").alias("partner_fp"), "jaccard").union(pairs.select("b", "a", "jaccard"))
-    several = named.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp", F.col("fp").alias("partner_fp"), F.lit(1.0).alias("jaccard"))
-    found = both.union(several).join(named, "fp").join(partners, "partner_fp").filter("doc_id != partner_id")
-    return found.groupBy("doc_id", "partner_id").agg(F.max("jaccard").alias("jaccard"), F.min("group_id").alias("group_id"))
+    count = buckets(docs, BUCKET_BYTES)
+    sets, rows = set_table(data, n, count, threshold)
+    ids = written(rows.distinct(), "ids")
+    labels = written(components(set_links(sets, count, threshold, orders)).withColumnRenamed("node", "fp"), "labels")
+    weights = ids.groupBy("fp").agg(F.count("*").alias("weight"), F.min("doc_id").alias("low"))
+    grouped = written(weights.join(labels, "fp", "left"), "weights")
+    matches = match_counts(sets.join(light(labels), "fp"), grouped.select("fp", "weight"), threshold, orders)
+    low = grouped.filter("label is not null").groupBy("label").agg(F.min("low").alias("class_id"))
+    named = grouped.filter("label is not null or weight > 1").join(low, "label", "left").join(matches, "fp", "left")
+    named = named.select("fp", F.coalesce("class_id", "low").alias("class_id"), (F.col("weight") - 1).alias("n_copies"), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    return ids.join(light(written(named, "named")), "fp").select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = NGRAM, orders: int = ORDERS) -> DataFrame:
@@ -394,8 +509,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     an id are dropped, its word-less rows go too. Only ids are joined with docs.
     """
     data = documents_only(docs, id_col, text_col)
-    ids = written(set_ids(data, n), "ids")
-    labels = components(set_links(data, threshold, n, orders))
+    count = buckets(docs, BUCKET_BYTES)
+    sets, ids = set_table(data, n, count, threshold)
+    labels = components(set_links(sets, count, threshold, orders))
     distinct = ids.distinct().join(labels, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("label", "fp"))
     best = F.min(F.struct("doc_id", "fp"))
     reps = distinct.groupBy("label").agg(best.alias("rep"), F.count("*").alias("n")).filter("n > 1")
@@ -420,4 +536,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+#: All pairs by their grams, and classes by following matches from document to document.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9ªµº\x{C0}-\x{1FFF}\x{2040}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i+2], ' ') FOR i IN range(1, len(w) - 1)] END) AS gram FROM w WHERE len(w) > 0),
+s AS (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
+b AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL),
+m AS (SELECT a, b, n = x.size AND n = y.size AS same FROM b JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 2 * n >= x.size + y.size - n),
+r AS (SELECT DISTINCT a AS doc_id, a AS seen FROM m UNION SELECT r.doc_id, m.b FROM r JOIN m ON m.a = r.seen),
+c AS (SELECT doc_id, min(seen) AS class_id FROM r GROUP BY doc_id)
+SELECT c.doc_id, class_id, count(*) AS n_links, CAST(sum(CASE WHEN same THEN 1 ELSE 0 END) AS BIGINT) AS n_copies
+FROM c JOIN m ON m.a = c.doc_id GROUP BY c.doc_id, class_id
+"""

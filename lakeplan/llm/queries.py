@@ -16,4 +16,4 @@ QUERIES = {
     "op9_page_diff": pagediff.op9,
     "op10_warc": warc.op10,
 }
-ORACLES: dict[str, str] = {"op6_line_dedup": linededup.ORACLE}
+ORACLES: dict[str, str] = {"op4_ngram_jaccard": ngramjoin.ORACLE, "op6_line_dedup": linededup.ORACLE}

@@ -37,14 +37,30 @@ def brute_groups(data, threshold=ngramjoin.THRESHOLD, n=ngramjoin.NGRAM):
     return {i: g for g, m in members.items() if len(m) > 1 for i in m}, pairs
 
 
+def brute_classes(data, threshold=ngramjoin.THRESHOLD, n=ngramjoin.NGRAM):
+    """doc_id, class_id, n_links, n_copies of every document with a match; rows of one id and one set of grams are one document."""
+    docs = sorted({(i, frozenset(grams(t, n))) for i, t in data if i is not None and grams(t, n)}, key=lambda d: d[0])
+    up, links, copies = list(range(len(docs))), [0] * len(docs), [0] * len(docs)
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, (_, s) in enumerate(docs):
+        for b, (_, u) in enumerate(docs):
+            if a != b and s & u and len(s & u) / len(s | u) >= threshold - 1e-12:
+                links[a] += 1
+                copies[a] += s == u
+                x, y = top(a), top(b)
+                up[max(x, y)] = min(x, y)
+    return sorted((docs[k][0], docs[top(k)][0], links[k], copies[k]) for k in range(len(docs)) if links[k])
+
+
 def check(docs, data, **options):
-    got = rows(ngramjoin.jaccard_join(docs, **options))
-    groups, pairs = brute_groups(data, options.get("threshold", ngramjoin.THRESHOLD), options.get("n", ngramjoin.NGRAM))
-    assert {r[0]: r[3] for r in got} == groups
-    for a, b, jac, _ in got:
-        assert abs(pairs[max(a, b), min(a, b)] - jac) < 1e-9
-    assert {(b, a) for a, b, *_ in got} == {(a, b) for a, b, *_ in got}
-    return groups
+    got = sorted(rows(ngramjoin.jaccard_classes(docs, **options)))
+    assert got == brute_classes(data, options.get("threshold", ngramjoin.THRESHOLD), options.get("n", ngramjoin.NGRAM))
+    return {r[0]: r[1] for r in got}
 
 
 @pytest.mark.parametrize("threshold,n,orders", [(0.5, 3, 3), (0.8, 2, 2), (0.3, 1, 1)])
@@ -68,15 +84,14 @@ def test_awkward_rows(spark):
     kept = ngramjoin.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 4, 5, None, 6, 8, 10, 12]))
-    assert rows(ngramjoin.jaccard_join(no_documents(spark))) == [] and rows(ngramjoin.keep_one(no_documents(spark))) == []
+    assert rows(ngramjoin.jaccard_classes(no_documents(spark))) == [] and rows(ngramjoin.keep_one(no_documents(spark))) == []
 
 
 def test_one_id_with_several_texts(spark):
     data = [(1, "alpha beta gamma delta epsilon"), (1, "one two three four five six"), (1, None), (2, "one two three four five six"), (3, "alpha beta gamma delta epsilon"), (4, "quite another text about nothing")]
     kept = [(r.doc_id, r.text) for r in ngramjoin.keep_one(documents(spark, data)).collect()]
     assert sorted(kept, key=str) == sorted([data[0], data[1], data[2], data[5]], key=str)
-    got = {r[0]: r[3] for r in rows(ngramjoin.jaccard_join(documents(spark, data)))}
-    assert got == {1: 1, 2: 1, 3: 1}
+    assert sorted(rows(ngramjoin.jaccard_classes(documents(spark, data)))) == [(1, 1, 1, 1), (1, 1, 1, 1), (2, 1, 1, 1), (3, 1, 1, 1)]
 
 
 def test_kept_documents(spark, data):
@@ -87,7 +102,9 @@ def test_kept_documents(spark, data):
     assert kept == {i for i, _ in all_ if groups.get(i, i) == i}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1_000_000, 5])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr("lakeplan.llm.components.ONE_TASK", one_task)
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 102), (101, 103), (7, 7)]
     got = dict(rows(components(spark.createDataFrame(edges, "a long, b long"))))
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 104)}}
@@ -101,16 +118,31 @@ def near_copies(n, size=60):
     return list(enumerate(texts + texts[::5]))
 
 
-def test_every_pair_of_brute_force(spark, data):
-    docs = table(spark, data, "documents")
-    for df, rows_ in ((docs, [(r.doc_id, r.text) for r in docs.collect()]), (documents(spark, near_copies(60)), near_copies(60)), (documents(spark), DOCS)):
-        got = rows(ngramjoin.jaccard_join(df))
-        _, pairs = brute_groups(rows_)
-        assert len(got) == 2 * len(pairs) and {(a, b): round(j, 9) for a, b, j, _ in got if a > b} == {k: round(j, 9) for k, j in pairs.items()}
+def test_links_in_blocks_are_those_of_brute_force(spark, monkeypatch):
+    """A class of many blocks, leaders of many parts, products of a few tokens at a time."""
+    data = [*near_copies(60), *((1000 + i, t) for i, t in near_copies(9, 33))]
+    want = check(documents(spark, data), data)
+    for name, value in {"BLOCK": 7, "PARTNERS": 5, "_GRID": 64}.items():
+        monkeypatch.setattr(ngramjoin, name, value)
+    assert check(documents(spark, data), data) == want
+    monkeypatch.setattr(ngramjoin, "buckets", lambda *_: 37)
+    assert check(documents(spark, data), data) == want
 
 
-def test_pairs_do_not_depend_on_buckets(spark, monkeypatch):
-    docs = documents(spark, near_copies(40))
-    want = sorted(rows(ngramjoin.jaccard_join(docs)))
-    monkeypatch.setattr(ngramjoin, "buckets", lambda *_: 37)
-    assert sorted(rows(ngramjoin.jaccard_join(docs))) == want and len(want) == 48 * 47
+def test_overlap():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sides = [[rng.choice(90, 12, replace=False).astype(np.uint64) for _ in range(n)] for n in (5, 8)]
+    got = ngramjoin.overlap(*(ngramjoin.Block._listed(x) for x in sides), (5, 8))
+    assert got.tolist() == [[len({*a.tolist()} & {*b.tolist()}) for b in sides[1]] for a in sides[0]]
+
+
+def test_hashes_that_agree_in_48_bits_stay_apart():
+    import numpy as np
+
+    from lakeplan.llm.kernels import unique_per_text
+
+    h = np.array([5 << 16 | 1, 5 << 16 | 2, 5 << 16 | 1, 9 << 20, 9 << 20, 5 << 16 | 1], np.uint64)
+    got, off = unique_per_text(h, np.array([0, 4, 6]))
+    assert off.tolist() == [0, 3, 5] and {*got[:3].tolist()} == {5 << 16 | 1, 5 << 16 | 2, 9 << 20}
