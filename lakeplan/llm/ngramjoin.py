@@ -348,7 +348,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, orders: int)
     parted = pairs.join(many.withColumnRenamed("a", "lead"), F.col("a") == F.col("lead"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
     wanted = parted.select(F.col("a").alias("fp"), "a", "part", F.lit(None).cast("long").alias("b")).distinct().union(parted.select(F.col("b").alias("fp"), "a", "part", "b"))
     jobs = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // (2 * PARTNERS)))
-    sent = sets.select("fp", "size", "tokens", "levels").join(wanted, "fp").select(F.pmod(F.xxhash64("a", "part"), F.lit(jobs)).alias("job"), "a", "part", "b", "size", "tokens", "levels")
+    wanted = written(wanted, "wanted")
+    sent = sets.select("fp", "size", "tokens", "levels").join(light(wanted), "fp").select(F.pmod(F.xxhash64("a", "part"), F.lit(jobs)).alias("job"), "a", "part", "b", "size", "tokens", "levels")
 
     def run(key, rows):
         out = []
@@ -360,7 +361,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, orders: int)
         return pa.table([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int64, float))], names=["a", "b", "jaccard"])
 
     out = written(sent.groupBy("job").applyInArrow(lambda k, t: run(k, _sorted(t, ["a", "part", "b"])), "a long, b long, jaccard double"), "links")
-    discard(pairs)
+    discard(pairs, wanted)
     return out
 
 
@@ -448,19 +449,20 @@ def set_links(sets: DataFrame, count: int, threshold: float = THRESHOLD, orders:
     return links.union(_verified(pairs, sets, threshold, orders))
 
 
-def match_counts(sets: DataFrame, weights: DataFrame, threshold: float = THRESHOLD, orders: int = ORDERS) -> DataFrame:
-    """(fp, n): for each set of (fp, size, tokens, levels, label), the weights (fp, weight) of the other sets of its label that match, summed.
+def match_counts(sets: DataFrame, members: DataFrame, threshold: float = THRESHOLD, orders: int = ORDERS) -> DataFrame:
+    """(fp, n): for each of the members (fp, label, weight), the weights of the other sets of its label that match, summed.
 
     A label's sets fall into blocks; each two of its blocks are compared in one
     task, so a class of any size is spread, and only counts leave the tasks.
     """
-    known = sets.join(weights, "fp")
-    blocks = known.groupBy("label").agg(F.count("*").alias("k"), F.sum(F.length("tokens")).alias("bytes")).filter("k > 1")
+    sized = members.join(sets.select("fp", "size"), "fp")
+    blocks = sized.groupBy("label").agg(F.count("*").alias("k"), F.sum(F.col("size") * 9).alias("bytes")).filter("k > 1")
     blocks = written(blocks.select("label", F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), "k"), "blocks")
     rows = blocks.agg(F.sum(F.col("k") * F.col("blocks"))).first()[0] or 0
     jobs = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // (2 * BLOCK)))
-    mine = known.join(light(blocks.drop("k")), "label").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    met = mine.select("fp", "size", "tokens", "levels", "weight", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = members.join(light(blocks.drop("k")), "label").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    placed = written(placed.select("fp", "weight", "label", "blocks", "block"), "placed")
+    met = sets.select("fp", "size", "tokens", "levels").join(light(placed), "fp").select("fp", "size", "tokens", "levels", "weight", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("fp", "size", "tokens", "levels", "weight", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).withColumn("job", F.pmod(F.xxhash64("label", "i", "j"), F.lit(jobs)))
 
     def run(key, rows):
@@ -495,7 +497,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = written(components(set_links(sets, count, threshold, orders)).withColumnRenamed("node", "fp"), "labels")
     weights = ids.groupBy("fp").agg(F.count("*").alias("weight"), F.min("doc_id").alias("low"))
     grouped = written(weights.join(labels, "fp", "left"), "weights")
-    matches = match_counts(sets.join(light(labels), "fp"), grouped.select("fp", "weight"), threshold, orders)
+    matches = match_counts(sets, grouped.filter("label is not null").select("fp", "label", "weight"), threshold, orders)
     low = grouped.filter("label is not null").groupBy("label").agg(F.min("low").alias("class_id"))
     named = grouped.filter("label is not null or weight > 1").join(low, "label", "left").join(matches, "fp", "left")
     named = named.select("fp", F.coalesce("class_id", "low").alias("class_id"), (F.col("weight") - 1).alias("n_copies"), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
