@@ -4,13 +4,19 @@ Each of TABLES tables projects unit vectors by BLOCKS random orthonormal maps to
 8 dimensions and decodes each to the nearest point of the E8 lattice; the points
 together name the vector's cell. A vector is stored in its own cell and looks
 into PROBES further cells of each table, reached through the next nearest lattice
-points of its blocks. Pairs that meet are verified by cosine, so no reported pair
+points of its blocks. What meets there is verified by cosine, so no reported link
 is wrong; with the defaults a pair at the threshold is missed about once in two hundred.
 
+Equal vectors are one vector from the start. So that no list of pairs grows with
+the square of a group, each vector is first compared with the leader of each of
+its cells, then only vectors of different classes that share a cell are; inside a
+class all vectors are compared, block by block, and only counts leave the tasks.
+
 Cases: null, empty, zero or non-finite vectors, vectors of another length than
-most, and null ids match nothing; repeated rows of an id count once and an id is
-never paired with itself; equal vectors of different ids are pairs of cosine 1;
-tables that are empty give no rows; other columns, whatever their names, are ignored.
+most, and null ids match nothing; repeated rows of an id count once (its least
+vector) and an id is never linked with itself; equal vectors of different ids, and
+vectors that differ in length alone, are copies of cosine 1; a cosine equal to the
+threshold links; tables that are empty give no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import light, ship, table, written
+from .components import class_matches, components
 from .kernels import U64, mix
 
 THRESHOLD = 0.95
@@ -29,6 +36,10 @@ BLOCKS = 2
 PROBES = 4
 #: Lattice scale at which a pair at THRESHOLD is REACH apart in each block on average.
 REACH = 0.5
+#: Vectors, and their bytes, in a block of a class.
+BLOCK, BLOCK_BYTES = 2048, 64 << 20
+#: Rounds of comparisons with leaders before the exact round.
+STARS = 2
 
 
 def nearest_d8(y: np.ndarray) -> np.ndarray:
@@ -129,56 +140,111 @@ def cells(x: np.ndarray, threshold: float = THRESHOLD, tables: int = TABLES, blo
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    """Rows of a binary column of float32 unit vectors."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.float32).reshape(-1, dim)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """Written (vec_id, embedding), one row an id, and the dimension that most rows have."""
+    """Written (vec_id, unit), one row an id, unit being a float32 unit vector as binary; and the dimension that most rows have."""
+    ship(vectors.sparkSession)
     v = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<float>").alias("embedding")).filter("vec_id is not null and size(embedding) > 0")
     dim = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     if dim is None:
         return v, 0
     plain = ~F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("embedding", lambda e: e != 0)
-    return written(v.filter((F.size("embedding") == dim.d) & plain).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors"), dim.d
 
+    def run(batches):
+        for b in batches:
+            x = b["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim.d)
+            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32) + np.float32(0)  # no negative zeros
+            yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "unit"])
+
+    one = v.filter((F.size("embedding") == dim.d) & plain).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return written(one.mapInArrow(run, "vec_id long, unit binary"), "vectors"), dim.d
 
-def near_pairs(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES) -> DataFrame:
-    """vec_a, vec_b, cosine of the pairs found at threshold or above, vec_a < vec_b."""
-    v, dim = usable(vectors, id_col, vector_col)
-    if not dim:
-        return v.select(F.col("vec_id").alias("vec_a"), F.col("vec_id").alias("vec_b"), F.lit(0.0).alias("cosine")).limit(0)
+
+def _looks(v: DataFrame, dim: int, threshold: float, tables: int, blocks: int, probes: int) -> DataFrame:
+    """(node, cell, own): every cell that each vector of (node, unit) is stored in or looks into."""
 
     def run(batches):
         maps = projections(dim, tables, blocks)
         for b in batches:
             for i in range(0, b.num_rows, 2000):
                 s = b.slice(i, 2000)
-                key = cells(_matrix(s.column("embedding"), dim), threshold, tables, blocks, probes, maps)
+                key = cells(_matrix(s["unit"], dim).astype(np.float64), threshold, tables, blocks, probes, maps)
                 n = key.shape[1] * key.shape[2]
                 own = np.tile(np.arange(key.shape[2]) == 0, s.num_rows * key.shape[1])
-                yield pa.RecordBatch.from_arrays([s.column("vec_id").take(pa.array(np.repeat(np.arange(s.num_rows), n))), pa.array(key.ravel().view(np.int64)), pa.array(own)], names=["vec_id", "cell", "own"])
+                yield pa.RecordBatch.from_arrays([s["node"].take(pa.array(np.repeat(np.arange(s.num_rows), n))), pa.array(key.ravel().view(np.int64)), pa.array(own)], names=["node", "cell", "own"])
 
-    looks = v.mapInArrow(run, "vec_id long, cell long, own boolean")
-    stored = looks.filter("own").select("cell", F.col("vec_id").alias("other"))
-    met = looks.select("cell", "vec_id").join(stored, "cell").filter("vec_id != other")
-    pairs = met.select(F.least("vec_id", "other").alias("vec_a"), F.greatest("vec_id", "other").alias("vec_b")).distinct()
-    a, b = v.select(F.col("vec_id").alias("vec_a"), F.col("embedding").alias("ea")), v.select(F.col("vec_id").alias("vec_b"), F.col("embedding").alias("eb"))
+    return v.mapInArrow(run, "node long, cell long, own boolean")
 
-    @F.arrow_udf("double")
-    def cosine(p: pa.Array, q: pa.Array) -> pa.Array:
-        return pa.array(np.einsum("ij,ij->i", _matrix(p, dim), _matrix(q, dim)) if len(p) else np.zeros(0))
 
-    return pairs.join(a, "vec_a").join(b, "vec_b").select("vec_a", "vec_b", cosine("ea", "eb").alias("cosine")).filter(F.col("cosine") >= threshold)
+def _leaders(looks: DataFrame) -> DataFrame:
+    """(a, b): each vector b of (node, cell, own, label) with the first vector stored in each of its cells that is of another class."""
+    by = F.struct("node", "label")
+    one = looks.groupBy("cell").agg(F.min(F.when(F.col("own"), by)).alias("one"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    led = looks.join(one, "cell")
+    two = led.filter("own and label != one.label").groupBy("cell").agg(F.min(by).alias("two"))
+    tries = led.join(two, "cell", "left").select(F.col("node").alias("b"), F.when(F.col("label") != F.col("one.label"), F.col("one.node")).otherwise(F.col("two.node")).alias("a"))
+    return tries.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(table(spark, sf_dir, "embeddings"))
+def _strangers(looks: DataFrame) -> DataFrame:
+    """(a, b): all vectors of different classes of which one is stored where the other is stored or looks.
 
+    Those of a cell's largest class are not compared with each other: a pair has one of another class.
+    """
+    per = looks.groupBy("cell", "label").agg(F.count("*").alias("k"))
+    mixed = per.groupBy("cell").agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("n")).filter("n > 1").select("cell", F.col("top.label").alias("top"))
+    here = looks.join(mixed, "cell")
+    few = here.filter("label != top").select("cell", F.col("node").alias("a"), F.col("label").alias("la"), F.col("own").alias("oa"))
+    all_ = here.select("cell", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("own").alias("ob"))
+    met = few.join(all_, "cell").filter("la != lb and (oa or ob)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-#: Exact brute force: what the approximate search must find at least nine tenths of; not an oracle of its rows.
-BRUTE_FORCE = """
-SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, CAST(list_cosine_similarity(a.embedding, b.embedding) AS DOUBLE) AS cosine
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
-WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.95
-"""
+
+def near_classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES, blocks: int = BLOCKS, probes: int = PROBES) -> DataFrame:
+    """vec_id, class_id, n_links, n_copies of every vector with a link.
+
+    class_id is the lowest vec_id of the vectors that links lead to; n_links
+    counts those at threshold or above, n_copies the equal ones among them.
+    """
+    all_, dim = usable(vectors, id_col, vector_col)
+    if not dim:
+        none = [F.col("vec_id").alias(c) for c in ("vec_id", "class_id", "n_links", "n_copies")]
+        return all_.select(*none).limit(0)
+    v = written(all_.groupBy("unit").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")), "distinct")
+    looks = _looks(v, dim, threshold, tables, blocks, probes)
+    shared = looks.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("own").alias("own")).filter("low != high and own").select("cell")
+    looks = written(looks.join(shared, "cell", "left_semi"), "looks")
+
+    @F.arrow_udf("boolean")
+    def near(p: pa.Array, q: pa.Array) -> pa.Array:
+        return pa.array(np.einsum("ij,ij->i", _matrix(p, dim), _matrix(q, dim), dtype=np.float64) >= threshold if len(p) else np.zeros(0, bool))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = (v.select(F.col("node").alias(c), F.col("unit").alias("u" + c)) for c in "ab")
+        return written(pairs.join(a, "a").join(b, "b").filter(near("ua", "ub")).select("a", "b"), "links")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        return looks.join(light(components(links)), "node", "left").select("node", "cell", "own", F.coalesce("label", "node").alias("label"))
+
+    links = verified(_leaders(looks.withColumn("label", F.col("node"))))
+    for _ in range(STARS - 1):
+        links = links.union(verified(_leaders(labelled(links))))
+    labels = components(links.union(verified(_strangers(labelled(links)))))
+
+    def similar(rows: pa.Table, one: tuple[int, int], two: tuple[int, int]) -> np.ndarray:
+        x, y = (_matrix(rows["unit"].slice(i, j - i), dim).astype(np.float64) for i, j in (one, two))
+        return x @ y.T >= threshold
+
+    grouped = written(v.select("node", "weight").join(labels, "node", "left").filter("label is not null or weight > 1"), "weights")
+    matches = class_matches(v.select("node", F.lit(4 * dim).alias("bytes"), "unit"), grouped.filter("label is not null"), similar, BLOCK, BLOCK_BYTES, 2 * BLOCK)
+    low = F.coalesce("label", "node").alias("class_id")  # the lowest id of equal vectors is their node, so the lowest node is the lowest id
+    named = grouped.join(matches, "node", "left").select("node", low, (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), (F.col("weight") - 1).alias("n_copies"))
+    named = written(named.join(v.select("node", "unit"), "node").drop("node"), "named")
+    return all_.join(light(named), "unit").select("vec_id", "class_id", "n_links", "n_copies")
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "embeddings"))

@@ -30,15 +30,13 @@ match; an empty table gives no rows; other columns, whatever their names, are ig
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import buckets, discard, documents_only, join_ids, light, slices, table, written
-from .components import components
+from .components import class_matches, components, runs, sorted_rows
 from .kernels import U64, mix, ngrams, ranges, unique_per_text, words
 
 NGRAM = 3
@@ -353,35 +351,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, orders: int)
 
     def run(key, rows):
         out = []
-        for i, j in _runs(rows, ["a", "part"]):  # the leader has no b and comes first
+        for i, j in runs(rows, ["a", "part"]):  # the leader has no b and comes first
             jac = Block(rows, i, i + 1, threshold, orders).similar(Block(rows, i + 1, j, threshold, orders))[0]
             hit = np.flatnonzero(jac)
             out.append((np.full(len(hit), rows["a"][i].as_py()), rows["b"].slice(i + 1, j - i - 1).to_numpy()[hit], jac[hit]))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 3
         return pa.table([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int64, float))], names=["a", "b", "jaccard"])
 
-    out = written(sent.groupBy("job").applyInArrow(lambda k, t: run(k, _sorted(t, ["a", "part", "b"])), "a long, b long, jaccard double"), "links")
+    out = written(sent.groupBy("job").applyInArrow(lambda k, t: run(k, sorted_rows(t, ["a", "part", "b"])), "a long, b long, jaccard double"), "links")
     discard(pairs, wanted)
     return out
 
 
-def _sorted(rows: pa.Table, by: list[str]) -> pa.Table:
-    """Rows by the columns, nulls first, in one chunk."""
-    import pyarrow.compute as pc
-
-    return rows.take(pc.sort_indices(rows, [(c, "ascending") for c in by], null_placement="at_start")).combine_chunks()
-
-
-def _runs(rows: pa.Table, by: list[str]) -> Iterator[tuple[int, int]]:
-    """(from, to) of the runs of sorted rows that are equal in the columns."""
-    if len(rows):
-        new = np.ones(len(rows), bool)
-        cols = [rows[c].to_numpy() for c in by]
-        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-        first = np.flatnonzero(new)
-        yield from zip(first.tolist(), np.append(first[1:], len(rows)).tolist())
-
-
 class Block:
     """Some sets: sizes, all their tokens and their prefixes under each order, each as (token, owner) arrays."""
 
@@ -450,37 +431,14 @@ def set_links(sets: DataFrame, count: int, threshold: float = THRESHOLD, orders:
 
 
 def match_counts(sets: DataFrame, members: DataFrame, threshold: float = THRESHOLD, orders: int = ORDERS) -> DataFrame:
-    """(fp, n): for each of the members (fp, label, weight), the weights of the other sets of its label that match, summed.
+    """(fp, n): for each of the members (fp, label, weight), the weights of the other sets of its label that match, summed."""
 
-    A label's sets fall into blocks; each two of its blocks are compared in one
-    task, so a class of any size is spread, and only counts leave the tasks.
-    """
-    sized = members.join(sets.select("fp", "size"), "fp")
-    blocks = sized.groupBy("label").agg(F.count("*").alias("k"), F.sum(F.col("size") * 9).alias("bytes")).filter("k > 1")
-    blocks = written(blocks.select("label", F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), "k"), "blocks")
-    rows = blocks.agg(F.sum(F.col("k") * F.col("blocks"))).first()[0] or 0
-    jobs = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // (2 * BLOCK)))
-    placed = members.join(light(blocks.drop("k")), "label").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    placed = written(placed.select("fp", "weight", "label", "blocks", "block"), "placed")
-    met = sets.select("fp", "size", "tokens", "levels").join(light(placed), "fp").select("fp", "size", "tokens", "levels", "weight", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("fp", "size", "tokens", "levels", "weight", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).withColumn("job", F.pmod(F.xxhash64("label", "i", "j"), F.lit(jobs)))
+    def similar(rows: pa.Table, one: tuple[int, int], two: tuple[int, int]) -> np.ndarray:
+        a = Block(rows, *one, threshold, orders)
+        return a.similar(a if one == two else Block(rows, *two, threshold, orders)) > 0
 
-    def run(key, rows):
-        rows, out = _sorted(rows, ["label", "i", "j", "block"]), []
-        for i, j in _runs(rows, ["label", "i", "j"]):
-            sides = [(i + a, i + b) for a, b in _runs(rows.slice(i, j - i), ["block"])]
-            if len(sides) == 1 and rows["i"][i] != rows["j"][i]:
-                continue  # the other block is empty
-            blocks_ = [Block(rows, a, b, threshold, orders) for a, b in sides]
-            hit = blocks_[0].similar(blocks_[-1]) > 0
-            if len(sides) == 1:
-                np.fill_diagonal(hit, False)
-            for (a, b), (c, d), h in ((sides[0], sides[-1], hit), (sides[-1], sides[0], hit.T))[: len(sides)]:
-                out.append((rows["fp"].slice(a, b - a).to_numpy(), h @ rows["weight"].slice(c, d - c).to_numpy()))
-        fp, n = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pa.table([pa.array(fp[n > 0]), pa.array(n[n > 0])], names=["fp", "n"])
-
-    return met.groupBy("job").applyInArrow(run, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
+    items = sets.select(F.col("fp").alias("node"), F.col("size") * 9, "size", "tokens", "levels").toDF("node", "bytes", "size", "tokens", "levels")
+    return class_matches(items, members.withColumnRenamed("fp", "node"), similar, BLOCK, BLOCK_BYTES, 2 * BLOCK).withColumnRenamed("node", "fp")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = NGRAM, orders: int = ORDERS) -> DataFrame:
