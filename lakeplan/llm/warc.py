@@ -4,7 +4,9 @@ Each input partition becomes one or more archive files. For every file a
 Zstandard dictionary is built from all the records that the file holds, stored
 in a leading skippable frame, and every record is a frame of its own compressed
 with that dictionary. Nothing is shuffled: the work is one pass over the table,
-and a lost task writes the same file again.
+and a lost task writes the same file again. A file is named by its archive (drawn
+anew for each call), its input partition and its number there, so results may be
+coalesced or united with others and still tell their files apart.
 
 Cases: a null id, URL or body is written as an empty field and read back as
 null (a header says so); empty and very long bodies are ordinary records (a file
@@ -23,11 +25,10 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
 #: Frame magic that announces a dictionary at the start of a file.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -36,7 +37,7 @@ FILE_BYTES = 32 << 20
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-SCHEMA = "part int, file int, seq long, page_id long, url string, offset long, length int, raw_length int, frame binary"
+SCHEMA = "file string, seq long, page_id long, url string, offset long, length int, raw_length int, frame binary"
 
 
 def record(page_id: int | None, url: str | None, body: bytes | None, date: str = DATE) -> bytes:
@@ -83,46 +84,48 @@ def dictionary_frame(data: bytes) -> bytes:
     return struct.pack("<II", SKIPPABLE_MAGIC, len(data)) + data
 
 
-def _file(part: int, number: int, rows: list[tuple], seq: int, dict_bytes: int, level: int) -> Iterator[pa.RecordBatch]:
+def _file(name: str, rows: list[tuple], seq: int, dict_bytes: int, level: int) -> Iterator[pa.RecordBatch]:
     import zstandard as zstd
 
     d = build_dictionary([r[2] for r in rows], dict_bytes)
     packer = zstd.ZstdCompressor(level=level, dict_data=d, write_content_size=True, write_checksum=True)
     head = dictionary_frame(d.as_bytes())
-    out = [(part, number, -1, None, None, 0, len(head), len(d.as_bytes()), head)]
+    out = [(name, -1, None, None, 0, len(head), len(d.as_bytes()), head)]
     at = len(head)
     for k, (page_id, url, raw) in enumerate(rows):
         frame = packer.compress(raw)
-        out.append((part, number, seq + k, page_id, url, at, len(frame), len(raw), frame))
+        out.append((name, seq + k, page_id, url, at, len(frame), len(raw), frame))
         at += len(frame)
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     for i in range(0, len(out), 1000):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 1000]), types)], names=names)
 
 
-def warc_frames(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", dict_bytes: int = DICT_BYTES, file_bytes: int = FILE_BYTES, level: int = LEVEL, date: str = DATE) -> DataFrame:
+def warc_frames(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", dict_bytes: int = DICT_BYTES, file_bytes: int = FILE_BYTES, level: int = LEVEL, date: str = DATE, archive: str | None = None) -> DataFrame:
     """Frames of all archive files: seq -1 is a file's leading dictionary frame, the rest are records in file order."""
-    data = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{body_col}`").cast("binary").alias("body"))
+    ship(pages.sparkSession)
+    archive = archive or uuid.uuid4().hex[:16]
+    data = pages.select(F.spark_partition_id().alias("part"), F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{body_col}`").cast("binary").alias("body"))
 
     def run(batches):
-        part, number, seq, rows, size = TaskContext.get().partitionId(), 0, 0, [], 0
+        part, number, seq, rows, size = 0, 0, 0, [], 0
         for b in batches:
-            for page_id, url, body in zip(*(b.column(i) for i in range(3))):
+            for part, page_id, url, body in zip(*(b.column(i) for i in range(4))):
                 raw = record(page_id.as_py(), url.as_py(), body.as_py(), date)
                 rows.append((page_id.as_py(), url.as_py(), raw))
                 size += len(raw)
                 if size >= file_bytes:
-                    yield from _file(part, number, rows, seq, dict_bytes, level)
+                    yield from _file(f"{archive}-{part.as_py():05d}-{number:05d}", rows, seq, dict_bytes, level)
                     number, seq, rows, size = number + 1, seq + len(rows), [], 0
         if rows:
-            yield from _file(part, number, rows, seq, dict_bytes, level)
+            yield from _file(f"{archive}-{part.as_py():05d}-{number:05d}", rows, seq, dict_bytes, level)
 
     return data.mapInArrow(run, SCHEMA)
 
 
 def write_warc(pages: DataFrame, folder: str, **options) -> DataFrame:
-    """Write part-PPPPP-FFFFF.warc.zst files into a folder that all executors share; returns the index (CDX) rows.
+    """Write FILE.warc.zst files into a folder that all executors share (a mount); returns the index (CDX) rows.
 
     Each file is written under a temporary name and renamed, so a task that is run twice leaves one whole file.
     """
@@ -132,18 +135,18 @@ def write_warc(pages: DataFrame, folder: str, **options) -> DataFrame:
         os.makedirs(folder, exist_ok=True)
         out, name, tmp = None, None, None
         for b in batches:
-            for part, file, frame in zip(b.column("part").to_pylist(), b.column("file").to_pylist(), b.column("frame")):
-                if name != (part, file):
+            for file, frame in zip(b.column("file").to_pylist(), b.column("frame")):
+                if name != file:
                     if out:
                         out.close()
-                        os.replace(tmp, f"{folder}/part-{name[0]:05d}-{name[1]:05d}.warc.zst")
-                    name, tmp = (part, file), f"{folder}/.{part}-{file}-{uuid.uuid4().hex}"
+                        os.replace(tmp, f"{folder}/{name}.warc.zst")
+                    name, tmp = file, f"{folder}/.{file}-{uuid.uuid4().hex}"
                     out = open(tmp, "wb")
                 out.write(frame.as_buffer())
             yield b.drop_columns(["frame"])
         if out:
             out.close()
-            os.replace(tmp, f"{folder}/part-{name[0]:05d}-{name[1]:05d}.warc.zst")
+            os.replace(tmp, f"{folder}/{name}.warc.zst")
 
     return frames.mapInArrow(save, SCHEMA.removesuffix(", frame binary"))
 
@@ -184,7 +187,7 @@ def read_frames(frames: DataFrame) -> DataFrame:
         got = [parse(reader.decompress(x)) for x in f[1:]]
         return pa.table({"page_id": pa.array([g[0] for g in got], pa.int64()), "url": pa.array([g[1] for g in got], pa.string()), "body": pa.array([g[2] for g in got], pa.binary())})
 
-    return frames.groupBy("part", "file").applyInArrow(lambda k, t: run(k, t), "page_id long, url string, body binary")
+    return frames.groupBy("file").applyInArrow(lambda k, t: run(k, t), "page_id long, url string, body binary")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import struct
 
 import pytest
@@ -38,8 +39,7 @@ def test_files(spark, data, tmp_path):
         assert magic == warc.SKIPPABLE_MAGIC
         d = zstd.ZstdCompressionDict(raw[8 : 8 + size])
         got += warc.read_file(raw)
-        part, number = map(int, f.name.split(".")[0].split("-")[1:])
-        own = sorted((r for r in index if (r.part, r.file) == (part, number)), key=lambda r: r.offset)
+        own = sorted((r for r in index if f"{r.file}.warc.zst" == f.name), key=lambda r: r.offset)
         assert own[0].seq == -1 and own[-1].offset + own[-1].length == len(raw)
         for r in own[1:4]:  # any record can be read alone
             one = zstd.ZstdDecompressor(dict_data=d).decompress(raw[r.offset : r.offset + r.length])
@@ -56,8 +56,40 @@ def test_the_dictionary_pays(spark, data):
 
 def test_a_task_run_twice_writes_the_same(spark, data):
     df = table(spark, data, "pages").coalesce(2)
-    key = lambda q: sorted((r.part, r.file, r.seq, bytes(r.frame)) for r in q.collect())
-    assert key(warc.warc_frames(df)) == key(warc.warc_frames(df))
+    key = lambda q: sorted((r.file, r.seq, bytes(r.frame)) for r in q.collect())
+    frames = warc.warc_frames(df)
+    assert key(frames) == key(frames)
+
+
+def plain_reader(data):
+    """Bodies of an archive by the bytes alone: skippable frame, dictionary, then frame after frame, record after record."""
+    assert data[:4] == b"\x5d\x2a\x4d\x18"
+    size = int.from_bytes(data[4:8], "little")
+    d, at, out = zstd.ZstdCompressionDict(data[8 : 8 + size]), 8 + size, []
+    while at < len(data):
+        o = zstd.ZstdDecompressor(dict_data=d).decompressobj()
+        raw = o.decompress(data[at:])
+        at = len(data) - len(o.unused_data)
+        lines = raw[: raw.index(b"\r\n\r\n")].split(b"\r\n")
+        fields = dict(x.split(b": ", 1) for x in lines[1:])
+        body = raw[raw.index(b"\r\n\r\n") + 4 :]
+        assert lines[0] == b"WARC/1.1" and len(body) == int(fields[b"Content-Length"]) + 4 and body.endswith(b"\r\n\r\n")
+        assert fields[b"WARC-Payload-Digest"] == b"sha1:" + hashlib.sha1(body[:-4].split(b"\r\n\r\n", 1)[1]).hexdigest().encode()
+        out.append(body[:-4].split(b"\r\n\r\n", 1)[1])
+    return out
+
+
+def test_files_of_merged_partitions(spark, data, tmp_path):
+    """Merging partitions after the writer, and uniting results, keeps every record."""
+    df = table(spark, data, "pages")
+    want = sorted(r.html.encode() for r in df.collect())
+    index = warc.write_warc(df.repartition(4), str(tmp_path / "out")).coalesce(1).collect()
+    files = sorted((tmp_path / "out").iterdir())
+    assert len(files) == len({r.file for r in index}) == 4
+    assert sorted(x for f in files for x in plain_reader(f.read_bytes())) == want
+    frames = warc.warc_frames(df.repartition(4)).coalesce(1).union(warc.warc_frames(df.repartition(3)))
+    assert sorted(bytes(r.body) for r in warc.read_frames(frames).collect()) == sorted(want * 2)
+    assert frames.filter("seq = -1").count() == frames.select("file").distinct().count() == 7
 
 
 def test_empty_table(spark):
