@@ -8,7 +8,9 @@ of ids into blocks that can be read alone. A block keeps the bit offset of every
 decoder follows all checkpoints of many blocks at once.
 
 Result rows: block -1 is the code book (``bits`` holds the code length of each
-id), every other row one block. doc_ids, doc_starts and doc_from tell, for each
+id), every other row one block. A part is named by its run (drawn anew for each
+call; the code book's part is the run alone) and its input partition, so (part,
+block) tells blocks apart however results are coalesced or united. doc_ids, doc_starts and doc_from tell, for each
 document part in the block, its id, its first token's place in the block and
 that token's place in the document.
 
@@ -16,18 +18,19 @@ Cases: null and empty texts are documents of no tokens; null ids stay null in
 doc_ids; very long texts run over several blocks; repeated rows are encoded as
 often as they occur; an empty table gives a code book of zero lengths and no
 block; other columns, whatever their names, are ignored. A corpus of one
-distinct id gets a one-bit code.
+distinct id gets a one-bit code. A vocabulary in use that codes of ``max_bits`` bits
+cannot tell apart is an error.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +42,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 MAX_BITS = 16
 BLOCK = 1 << 16
 CHECKPOINT = 1 << 10
-SCHEMA = "part int, block long, n_tokens long, n_bits long, bits binary, checkpoints array<long>, doc_ids array<long>, doc_starts array<long>, doc_from array<long>"
-_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n_tokens", pa.int64()), ("n_bits", pa.int64()), ("bits", pa.binary()), *((n, pa.list_(pa.int64())) for n in ("checkpoints", "doc_ids", "doc_starts", "doc_from"))])
+SCHEMA = "part string, block long, n_tokens long, n_bits long, bits binary, checkpoints array<long>, doc_ids array<long>, doc_starts array<long>, doc_from array<long>"
+_ARROW = pa.schema([("part", pa.string()), ("block", pa.int64()), ("n_tokens", pa.int64()), ("n_bits", pa.int64()), ("bits", pa.binary()), *((n, pa.list_(pa.int64())) for n in ("checkpoints", "doc_ids", "doc_starts", "doc_from"))])
 _loaded: dict[str, object] = {}
 # A single blank between two other characters always starts a token, so a text may be cut there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -141,7 +144,8 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     if len(used) <= 1:
         out[used] = 1
         return out
-    limit = max(limit, int(np.ceil(np.log2(len(used)))))
+    if len(used) > 1 << limit:
+        raise ValueError(f"{len(used)} ids need codes of more than {limit} bits")
     order = used[np.lexsort((used, counts[used]))]
     leaf = counts[order].astype(np.float64)
     level, is_leaf = leaf, [np.ones(len(leaf), bool)]
@@ -197,10 +201,11 @@ def pack(ids: np.ndarray, cuts: np.ndarray, codes: np.ndarray, lengths: np.ndarr
     return [raw[base[i] * 8 : base[i] * 8 + (int(n_bits[i]) + 7) // 8] for i in range(len(run))], offset, n_bits
 
 
-def encode_blocks(tokens: DataFrame, lengths: np.ndarray, tokenizer: str = TOKENIZER, block: int = BLOCK, checkpoint: int = CHECKPOINT) -> DataFrame:
+def encode_blocks(tokens: DataFrame, lengths: np.ndarray, tokenizer: str = TOKENIZER, block: int = BLOCK, checkpoint: int = CHECKPOINT, run_id: str = "") -> DataFrame:
     def run(batches):
-        kind, codes, part, number = id_type(tokenizer), canonical_codes(lengths), TaskContext.get().partitionId(), 0
+        kind, codes, number = id_type(tokenizer), canonical_codes(lengths), 0
         for b in batches:
+            part = f"{run_id}-{b.column('part')[0].as_py()}" if b.num_rows else ""
             ids, off = _ids_of(b.column("ids"), kind)
             doc_ids = b.column("doc_id")
             n = len(ids)
@@ -220,18 +225,19 @@ def encode_blocks(tokens: DataFrame, lengths: np.ndarray, tokenizer: str = TOKEN
                     number += 1
                 yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in _ARROW], schema=_ARROW)
 
-    return tokens.mapInArrow(run, SCHEMA)
+    return tokens.select("doc_id", "ids", F.spark_partition_id().alias("part")).mapInArrow(run, SCHEMA)
 
 
-def code_book(spark: SparkSession, lengths: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(-1, -1, len(lengths), 8 * len(lengths), bytearray(lengths.astype(np.uint8).tobytes()), [], [], [], [])], SCHEMA)
+def code_book(spark: SparkSession, lengths: np.ndarray, run_id: str = "") -> DataFrame:
+    return spark.createDataFrame([(run_id, -1, len(lengths), 8 * len(lengths), bytearray(lengths.astype(np.uint8).tobytes()), [], [], [], [])], SCHEMA)
 
 
 def huffman_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, block: int = BLOCK, checkpoint: int = CHECKPOINT, max_bits: int = MAX_BITS) -> DataFrame:
     """Code book row and block rows of all documents."""
     tokens = token_table(docs, id_col, text_col, tokenizer)
     lengths = code_lengths(count_ids(tokens, tokenizer), max_bits)
-    return code_book(docs.sparkSession, lengths).union(encode_blocks(tokens, lengths, tokenizer, block, checkpoint))
+    run_id = uuid.uuid4().hex[:16]
+    return code_book(docs.sparkSession, lengths, run_id).union(encode_blocks(tokens, lengths, tokenizer, block, checkpoint, run_id))
 
 
 class Decoder:
@@ -279,9 +285,9 @@ def decode_blocks(blocks: DataFrame, lengths: np.ndarray, checkpoint: int = CHEC
             rows = [r for r in b.to_pylist() if r["block"] >= 0]
             for r, ids in zip(rows, d.decode([(r["bits"], r["n_tokens"], r["checkpoints"]) for r in rows], checkpoint)):
                 ends = [*r["doc_starts"][1:], r["n_tokens"]]
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array([r["part"]] * len(ends), pa.int32()), pa.array([r["block"]] * len(ends), pa.int64()), pa.array(r["doc_from"], pa.int64()), pa.array([ids[s:e].tolist() for s, e in zip(r["doc_starts"], ends)], pa.list_(pa.int64()))], names=["doc_id", "part", "block", "doc_from", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array([r["part"]] * len(ends), pa.string()), pa.array([r["block"]] * len(ends), pa.int64()), pa.array(r["doc_from"], pa.int64()), pa.array([ids[s:e].tolist() for s, e in zip(r["doc_starts"], ends)], pa.list_(pa.int64()))], names=["doc_id", "part", "block", "doc_from", "ids"])
 
-    return blocks.mapInArrow(run, "doc_id long, part int, block long, doc_from long, ids array<long>")
+    return blocks.mapInArrow(run, "doc_id long, part string, block long, doc_from long, ids array<long>")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,3 +121,19 @@ def test_codes_are_canonical():
     codes = tokenio.canonical_codes(n)
     assert [f"{codes[i]:0{n[i]}b}" for i in (2, 0, 3, 4)] == ["0", "10", "110", "111"]
     assert tokenio.code_lengths(np.zeros(4, int)).tolist() == [0] * 4 and tokenio.code_lengths(np.array([0, 9])).tolist() == [0, 1]
+
+
+def test_keys_of_merged_and_united_results(spark):
+    """(part, block) tells blocks apart after a coalesce and across calls, and documents come back whole."""
+    docs = documents(spark).repartition(6)
+    out = tokenio.huffman_blocks(docs, block=64).coalesce(1)
+    both = out.union(tokenio.huffman_blocks(docs, block=64))
+    keys = [(r.part, r.block) for r in both.collect()]
+    assert len(set(keys)) == len(keys) and sum(b == -1 for _, b in keys) == 2
+    want = sorted(((i, tokenio.encoder().encode_ordinary(t or "")) for i, t in DOCS), key=str)
+    assert sorted(decoded(out)[0], key=str) == want
+
+
+def test_too_short_codes_are_an_error():
+    with pytest.raises(ValueError):
+        tokenio.code_lengths(np.ones(300, np.int64), 8)
