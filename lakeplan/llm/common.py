@@ -118,7 +118,10 @@ def join_ids(docs: DataFrame, ids: DataFrame, how: str, key: Column) -> DataFram
     return docs.join(light(ids.select(F.struct("doc_id").alias("__ids"))), key == F.col("__ids.doc_id"), how)
 
 
-def light(df: DataFrame) -> DataFrame:
-    """A written table: broadcast in joins if its counted rows and its files are within BROADCAST_IDS and BROADCAST_BYTES."""
+def light(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """A written table: broadcast in joins if its counted rows (and the sum of ``weight``, its rows' variable part) and its files are within BROADCAST_IDS and BROADCAST_BYTES."""
     size = plan_bytes(df)
-    return F.broadcast(df) if size is not None and size <= BROADCAST_BYTES and df.count() <= BROADCAST_IDS else df
+    if size is None or size > BROADCAST_BYTES:
+        return df
+    most = df.agg(F.count("*") if weight is None else F.greatest(F.count("*"), F.coalesce(F.sum(weight), F.lit(0)))).first()[0]
+    return F.broadcast(df) if most <= BROADCAST_IDS else df

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -16,8 +18,9 @@ def one_edit(a, b):
 
 
 def brute(data):
-    """(doc_id, text, dropped) of every row, by comparing all pairs of lines."""
-    lines = sorted({(i, k, tuple(split_words(x))) for i, t in data if i is not None for k, x in enumerate((t or "").split("\n")) if split_words(x)})
+    """(doc_id, text, dropped) of every row, by comparing all pairs of lines; documents are different (id, text)."""
+    mark = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    lines = sorted({((i, mark(t or "")), k, tuple(split_words(x))) for i, t in data if i is not None for k, x in enumerate((t or "").split("\n")) if split_words(x)})
     gone = set()
     for n, (i, k, w) in enumerate(lines):
         for j, m, v in lines[:n]:
@@ -27,11 +30,23 @@ def brute(data):
                 break
     out = []
     for i, t in data:
-        kept = None if t is None else [x for k, x in enumerate(t.split("\n")) if i is None or (i, k) not in gone]
+        kept = None if t is None else [x for k, x in enumerate(t.split("\n")) if i is None or ((i, mark(t)), k) not in gone]
         out.append((i, None if t is None else "\n".join(kept), 0 if t is None else len(t.split("\n")) - len(kept)))
     return sorted(out, key=str)
 
 
+def test_texts_of_one_id_lose_only_their_own_lines(spark):
+    data = [(1, "shared footer line"), (5, "intro of A\nshared footer line"), (5, "intro of B\nunique body of B"), (5, "intro of B\nunique body of B")]
+    got = rows(linededup.dedup_lines(documents(spark, data)))
+    assert sorted(got, key=str) == sorted([(1, data[0][1], 0), (5, "intro of A", 1), (5, data[2][1], 0), (5, data[2][1], 0)], key=str) == brute(data)
+
+
+def test_bound_is_a_parameter(spark):
+    data = [(1, "one two three"), (2, "one two four"), (3, "one two")]
+    assert sorted(rows(linededup.dedup_lines(documents(spark, data), short=2))) == [(1, "one two three", 0), (2, "", 1), (3, "", 1)]
+    assert sorted(rows(linededup.dedup_lines(documents(spark, data)))) == [(i, t, 0) for i, t in data]
+
+
 def test_same_as_sql(same_as_sql):
     assert len(same_as_sql(QUERIES["op6_line_dedup"], ORACLES["op6_line_dedup"])) > 100
 
