@@ -6,14 +6,15 @@ after; on a tie the one before). Their text lines are aligned by longest common
 subsequence and the shared lines, the site's furniture, are deleted.
 
 Only text lines travel, compressed page by page, in one range partitioning by
-(host, path, page_id), so a host of any size is spread over tasks. A task settles
+(host, path, page_id), so a host of any size is spread over tasks; the ranges
+come from a sample of the URLs alone, so no page is read twice. A task settles
 all pages but those at its ends; the ends of all tasks, with the pages beside
 them, are ordered again, and so on until one task holds them: no result depends
 on where partitions begin.
 
 Cases: null HTML gives null text and is a neighbour without lines; empty HTML gives empty text; pages of null or
-host-less URLs, of hosts with one path, and pages whose neighbours hold at least
-MIRROR of their text (mirrors, not templates) keep all lines; several pages of
+host-less URLs, of hosts with one path, and pages whose neighbours both have the
+very same lines (copies, which tell nothing about furniture) keep all lines; several pages of
 one path (other queries, repeated rows) share their neighbours and are not
 compared with each other; null page ids come first in their path; very long pages
 are aligned whole; an empty table gives no rows; other columns, whatever their
@@ -24,19 +25,24 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets, table, written
+from .common import buckets, ship, table, written
 
-MIRROR = 0.9
 RANGE_BYTES = 8 << 20
 #: Pages that one task orders when the ends of partitions are settled.
 END_PAGES = 20_000
+#: URLs sampled for each range, and for all ranges together.
+RANGE_SAMPLE, RANGE_SAMPLES = 60, 1_000_000
+#: Bits of alignment state kept at once; longer pages are halved first.
+_STATE_BITS = 1 << 28
 _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|svg|iframe)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|button|caption|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|legend|li|main|menu|nav|ol|option|p|pre|section|select|summary|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^<>]*>", re.I)
 _TAG = re.compile(r"</?[a-z!?][^<>]*>", re.I)
@@ -70,22 +76,52 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     y = [b[j] for j in range(lo, hi_b) if b[j] in common]
     if not x:
         return out
-    rows = [[0] * (len(y) + 1)]
-    for i in x:
-        last, now = rows[-1], [0]
-        for j, line in enumerate(y):
-            now.append(last[j] + 1 if a[i] == line else max(last[j + 1], now[j]))
-        rows.append(now)
-    i, j = len(x), len(y)
+    code: dict[str, int] = {}
+    out.update(x[i] for i in _aligned([code.setdefault(a[i], len(code)) for i in x], [code[line] for line in y]))
+    return out
+
+
+def _states(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each prefix of b, one bit a place of a: 0 where the longest common subsequence grows by that place."""
+    where: dict[int, int] = {}
+    for i, line in enumerate(a):
+        where[line] = where.get(line, 0) | 1 << i
+    full = v = (1 << len(a)) - 1
+    yield v
+    for line in b:
+        m = v & where.get(line, 0)
+        v = ((v + m) | (v - m)) & full
+        yield v
+
+
+def _grows(a: list[int], b: list[int]) -> np.ndarray:
+    """Whether the longest common subsequence with b grows by each place of a."""
+    for v in _states(a, b):
+        last = v
+    return 1 - np.unpackbits(np.frombuffer(last.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)].astype(np.int64)
+
+
+def _aligned(a: list[int], b: list[int]) -> list[int]:
+    """Places in a of a longest common subsequence with b; bit-parallel, and in halves where the state would be large."""
+    if not a or not b:
+        return []
+    if len(b) > 1 and len(a) * len(b) > _STATE_BITS:
+        half = len(b) // 2
+        before = np.concatenate([[0], np.cumsum(_grows(a, b[:half]))])  # common with the first half, by prefix of a
+        after = np.concatenate([[0], np.cumsum(_grows(a[::-1], b[half:][::-1]))])[::-1]
+        at = int(np.argmax(before + after))
+        return _aligned(a[:at], b[:half]) + [at + i for i in _aligned(a[at:], b[half:])]
+    rows, out = list(_states(a, b)), []
+    i, j = len(a), len(b)
     while i and j:
-        if rows[i][j] == rows[i - 1][j]:
+        if rows[j] >> (i - 1) & 1:
             i -= 1
-        elif rows[i][j] == rows[i][j - 1]:
-            j -= 1
-        else:
+        elif rows[j - 1] >> (i - 1) & 1:
             i, j = i - 1, j - 1
-            out.add(x[i])
-    return out
+            out.append(i)
+        else:
+            j -= 1
+    return out[::-1]
 
 
 def _common(a: str, b: str) -> int:
@@ -96,13 +132,12 @@ def _common(a: str, b: str) -> int:
     return n
 
 
-def differenced(lines: list[str], path: str, before: tuple | None, after: tuple | None, mirror: float = MIRROR) -> tuple[int | None, list[str]]:
+def differenced(lines: list[str], path: str, before: tuple | None, after: tuple | None) -> tuple[int | None, list[str]]:
     """(partner's page_id, lines kept) against the nearer of (path, page_id, lines) before and after."""
     near = sorted((n for n in (before, after) if n), key=lambda n: -_common(path, n[0]))
-    size = sum(map(len, lines))
     for _, partner, other in near:
-        gone = shared_lines(lines, other)
-        if sum(len(lines[i]) for i in gone) < mirror * size:
+        if other != lines:
+            gone = shared_lines(lines, other)
             return partner, [x for i, x in enumerate(lines) if i not in gone]
     return None, lines
 
@@ -149,7 +184,7 @@ def _settle(rows: Iterator[dict], whole: bool) -> Iterator[dict]:
             if r["kind"] == 2:
                 continue
             if r["lines"] is None:
-                yield r | {"kind": 0}
+                yield r | {"kind": 0, "n_removed": 0}
                 continue
             lines = _unpack(r["lines"])
             partner, kept = differenced(lines, path, b, a)
@@ -194,8 +229,23 @@ def _batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(part, schema=_ARROW)
 
 
-def page_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Pages as rows in transit."""
+def _key(host: str, path: str, page_id: int | None, url: str | None) -> tuple:
+    return host, path, page_id is not None, page_id or 0, url is not None, url or ""
+
+
+def range_bounds(pages: DataFrame, parts: int, id_col: str, url_col: str) -> list[tuple]:
+    """Keys that cut the pages into about ``parts`` ranges of equal size, by a sample of ids and URLs as Spark's own range partitioning would take."""
+    urls = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"))
+    rows = urls.count()
+    wanted = min(RANGE_SAMPLE * parts, RANGE_SAMPLES)
+    some = urls.sample(min(1.0, wanted / max(rows, 1)), 17).collect()
+    keys = sorted(_key(*host_path(r.url), r.page_id, r.url) for r in some)
+    cuts = [keys[len(keys) * k // parts] for k in range(1, parts)] if keys else []
+    return sorted(set(cuts))
+
+
+def page_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", bounds: list[tuple] = ()) -> DataFrame:
+    """Pages as rows in transit; n_removed holds the range between the bounds."""
     data = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
 
     def run(batches):
@@ -203,7 +253,7 @@ def page_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             for r in _rows(batches):
                 host, path = host_path(r["url"])
                 lines = None if r["html"] is None else text_lines(r["html"])
-                yield {"kind": 1, "host": host, "path": path, "page_id": r["page_id"], "url": r["url"], "partner_id": None, "n_lines": len(lines or []), "n_removed": 0, "lines": None if lines is None else _pack(lines)}
+                yield {"kind": 1, "host": host, "path": path, "page_id": r["page_id"], "url": r["url"], "partner_id": None, "n_lines": len(lines or []), "n_removed": bisect_right(bounds, _key(host, path, r["page_id"], r["url"])), "lines": None if lines is None else _pack(lines)}
 
         yield from _batches(rows())
 
@@ -212,14 +262,21 @@ def page_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", range_bytes: int = RANGE_BYTES, end_pages: int = END_PAGES) -> DataFrame:
     """page_id, url, partner_id, n_lines, n_removed, text of every page."""
-    order = ["host", "path", "page_id", "url"]  # what a range partitioning samples goes to the driver: no page text
-    lines = page_lines(pages, id_col, url_col, html_col)
+    ship(pages.sparkSession)
+    order = ["host", "path", "page_id", "url"]
     parts = buckets(pages, range_bytes)
+    bounds = range_bounds(pages, parts, id_col, url_col) if parts > 1 else []
+    lines = page_lines(pages, id_col, url_col, html_col, bounds)
     done: list[DataFrame] = []
     todo = lines
     while True:
         whole = parts == 1
-        ranged = todo.coalesce(1) if whole else todo.repartitionByRange(parts, *order)
+        if whole:
+            ranged = todo.coalesce(1)
+        elif done:
+            ranged = todo.repartitionByRange(parts, *order)
+        else:
+            ranged = todo.repartitionById(len(bounds) + 1, F.col("n_removed"))  # holds the range as yet
         result = written(ranged.sortWithinPartitions(*order, "lines", "kind").mapInArrow(lambda b, w=whole: _batches(_settle(_merged(_rows(b)), w)), _SCHEMA), "pages")
         done.append(result.filter("kind = 0"))
         if whole:
