@@ -6,8 +6,10 @@ with the item (local alignment over words, linear gaps), unless the words they
 have in common are too few for the score whatever their order. A pair whose best
 alignment leaves one gram intact gets the score of aligning the whole document.
 The score over the item's length is 1 for a copy and falls with every edit; from
-MIN_WORDS matched words on, an excerpt counts however long its item is. The test set is small beside the corpus: it travels to the tasks in shards of at
-most MAX_GRAMS grams, so no document is shuffled.
+MIN_WORDS matched words on, an excerpt counts however long its item is. The test
+set goes to the tasks in shards of at most MAX_GRAMS grams, one pass over the
+documents for each, so no document is shuffled and neither the driver nor a task
+ever holds more than one shard. Of windows of equal score the first is reported.
 
 Cases: null or empty texts, items and ids match nothing (null-id documents are
 left out of the result and kept by ``drop_contaminated`` unless contaminated);
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_only, slices, table
+from .common import discard, documents_only, ship, slices, table, written
 from .kernels import U64, ngrams, ranges, words
 
 NGRAM = 3
@@ -155,58 +157,80 @@ def align(texts: pa.Array, items: Items, min_score: float = MIN_SCORE) -> list[t
     return [(d, i, *v) for (d, i), v in best.items()]
 
 
-def shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = NGRAM, max_grams: int = MAX_GRAMS) -> list[Items]:
-    """The test items in shards of bounded size, by hashed id."""
-    rows = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).dropna().dropDuplicates()
-    grams = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    count = max(1, -(-grams // max_grams))
-    out = []
-    for k in range(count):
-        part = sorted((r.id, r.text) for r in rows.filter(F.pmod(F.xxhash64("id"), F.lit(count)) == k).collect())
-        if part:
-            out.append(Items([r[0] for r in part], [r[1] for r in part], n))
-    return out
+class Benchmark:
+    """Test items in ``len`` shards of bounded size, by hashed id; the driver holds the one it is asked for."""
 
+    def __init__(self, rows: DataFrame, count: int, n: int):
+        self.rows, self.count, self.n = rows, count, n
 
-def prepared(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = NGRAM, max_grams: int = MAX_GRAMS) -> list[Items]:
-    """Shards of test items; the same for all documents, as no seed is chosen by its count among them."""
-    return shards(benchmark, item_col, item_text_col, n, max_grams)
+    def __len__(self) -> int:
+        return self.count
 
+    def shard(self, k: int) -> Items:
+        part = sorted((r.id, r.text) for r in self.rows.filter(F.pmod(F.xxhash64("id"), F.lit(self.count)) == k).collect())
+        return Items([r[0] for r in part], [r[1] for r in part], self.n)
 
-def contaminated(docs: DataFrame, items: list[Items], id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """doc_id, item_id, score, first_word, last_word of each contaminated pair; the words are the aligned window's."""
-    data = documents_only(docs, id_col, text_col)
+
+def prepared(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", n: int = NGRAM, max_grams: int = MAX_GRAMS) -> Benchmark:
+    """The test items; the same for all documents, as no seed is chosen by its count among them."""
+    rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).dropna().dropDuplicates()
+    grams = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    return Benchmark(rows, max(1, -(-grams // max_grams)), n)
+
+
+def _pairs(data: DataFrame, items: Items, min_score: float) -> DataFrame:
+    """(doc_id, item_id, score, first_word, last_word) of one shard."""
 
     def run(batches):
         for b in batches:
             for s in slices(b, "text"):
                 ids = s.column("doc_id").to_numpy(zero_copy_only=False)
-                for part in items:
-                    got = align(s.column("text"), part, min_score)
-                    if got:
-                        d, i, score, first, last = (np.array(x) for x in zip(*got))
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(part.ids[i]), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(last - 1, pa.int64())], names=["doc_id", "item_id", "score", "first_word", "last_word"])
+                got = align(s.column("text"), items, min_score)
+                if got:
+                    d, i, score, first, last = (np.array(x) for x in zip(*got))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(items.ids[i]), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(last - 1, pa.int64())], names=["doc_id", "item_id", "score", "first_word", "last_word"])
 
-    rows = data.mapInArrow(run, "doc_id long, item_id long, score double, first_word long, last_word long")
+    return data.mapInArrow(run, "doc_id long, item_id long, score double, first_word long, last_word long")
+
+
+def contaminated(docs: DataFrame, bench: Benchmark, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """doc_id, item_id, score, first_word, last_word of each contaminated pair; the words are the aligned window's."""
+    data = documents_only(docs, id_col, text_col)
+    rows = None
+    for k in range(len(bench)):
+        found = _pairs(data, bench.shard(k), min_score)
+        if len(bench) > 1:
+            found = written(found, "found")
+        rows = found if rows is None else rows.union(found)
     best = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("first_word")).alias("f"), "last_word")).alias("b"))
     return best.select("doc_id", "item_id", "b.score", (-F.col("b.f")).alias("first_word"), "b.last_word")
 
 
-def drop_contaminated(docs: DataFrame, items: list[Items], text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs that hold no test item, with all their columns."""
-
+def _without(docs: DataFrame, items: Items, text_col: str, min_score: float) -> DataFrame:
     @F.arrow_udf("boolean")
     def found(texts: pa.Array) -> pa.Array:
         out, at = np.zeros(len(texts), bool), 0
         for s in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
-            for part in items:
-                out[[at + g[0] for g in align(s.column(0), part, min_score)]] = True
+            out[[at + g[0] for g in align(s.column(0), items, min_score)]] = True
             at += s.num_rows
         return pa.array(out)
 
     return docs.filter(~found(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
 
 
+def drop_contaminated(docs: DataFrame, bench: Benchmark, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of docs that hold no test item, with all their columns; beyond one shard, each pass writes what it keeps for the next."""
+    ship(docs.sparkSession)
+    for k in range(len(bench)):
+        before = docs
+        docs = _without(docs, bench.shard(k), text_col, min_score)
+        if k < len(bench) - 1:
+            docs = written(docs, "kept")
+            if k:
+                discard(before)
+    return docs
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return contaminated(docs, prepared(docs, table(spark, sf_dir, "benchmark")))
+    return contaminated(docs, prepared(table(spark, sf_dir, "benchmark")))

@@ -42,7 +42,7 @@ def test_stages_against_brute_force(spark, folder):
     assert kept.columns == columns and {r.doc_id for r in kept.collect()} == {i for i, _ in left if groups.get(i, i) == i}
 
     pure = save(run(2, kept), 2)
-    found = {r.doc_id for r in decontam.contaminated(kept, decontam.prepared(kept, bench)).collect()}
+    found = {r.doc_id for r in decontam.contaminated(kept, decontam.prepared(bench)).collect()}
     assert pure.columns == columns and {r.doc_id for r in pure.collect()} == {r.doc_id for r in kept.collect()} - found
 
     mixed = save(run(3, pure), 3)
