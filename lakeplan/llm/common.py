@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..shared import shared_dir
 
-#: Bytes of text that a kernel works on at once; bounds a Python worker's memory at any document count.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that a kernel works on at once; bounds a Python worker's memory at any document count, and keeps its arrays in the caches.
+SLICE_BYTES = 512 << 10
 
 
 def ship(spark: SparkSession) -> None:

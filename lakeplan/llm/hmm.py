@@ -42,7 +42,7 @@ CLASSES, PREFIX = 1 << 14, 4
 #: Added to the expected count of each class in each state, and of each transition; to the count of each word in its class.
 SMOOTH_ID, SMOOTH_STATE, SMOOTH_WORD = 1e-3, 1e-2, 0.1
 #: Fewer documents than this still running: their rests are cut into pieces that run side by side.
-_FEW, _PIECE = 48, 256
+_FEW, _PIECE = 100, 256
 #: Bytes of text in a chunk of documents.
 _CHUNK = 4 << 20
 
@@ -72,11 +72,12 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chun
         number = 0
         for b in batches:
             for s in slices(b, "text", chunk_bytes):
-                w = words(s["text"])
-                known, first, place = np.unique(w.hash, return_index=True, return_inverse=True)
-                class_ = (prefix_hashes(w, (PREFIX,))[0][first] % U64(CLASSES)).astype(np.uint16)
+                parts = [(w.hash, prefix_hashes(w, (PREFIX,))[0], np.diff(w.offset)) for w in (words(x["text"]) for x in slices(s, "text"))]
+                hashes, prefix, n = (np.concatenate(x) for x in zip(*parts))
+                known, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+                class_, offset = (prefix[first] % U64(CLASSES)).astype(np.uint16), np.concatenate([[0], np.cumsum(n)])
                 ids = s["doc_id"]
-                row = (int(s["part"][0].as_py()) << 32 | number, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), w.offset.astype(np.int64).tobytes(), known.tobytes(), class_.tobytes(), place.astype(np.uint32).tobytes())
+                row = (int(s["part"][0].as_py()) << 32 | number, ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), offset.astype(np.int64).tobytes(), known.tobytes(), class_.tobytes(), place.astype(np.uint32).tobytes())
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([x]) if k == 0 else pa.array([x], pa.binary()) for k, x in enumerate(row)], names=[c.split()[0] for c in _CHUNKS.split(", ")])
 
@@ -130,20 +131,21 @@ class Lanes:
         k = len(self.move)
         beta = np.ones((k, len(self.start)), np.float32) if after is None else after.astype(np.float32)
         beta = beta / (beta * self.ends()).sum(0)
-        tokens, weights = [], []
+        end = np.cumsum(self.live)
+        where, gamma = np.empty(end[-1], np.int64), np.empty((k, end[-1]), np.float32)
         for t in range(len(self.live) - 1, -1, -1):
-            n = self.live[t]
-            weights.append(self.alpha[t] * beta[:, :n])
-            tokens.append(self.ids[self.start[:n] + t])
-            totals["log"] += float(np.log(self.scale[t]).sum(dtype=np.float64))
+            n, at = self.live[t], slice(end[t] - self.live[t], end[t])
+            where[at] = self.ids[self.start[:n] + t]
+            np.multiply(self.alpha[t], beta[:, :n], out=gamma[:, at])
             last = self.alpha[t - 1][:, :n] if t else self.before
             if last is not None:
-                eb = self.emit[t] * beta[:, :n] / self.scale[t]
+                eb = self.emit[t] * beta[:, :n]
+                eb /= self.scale[t]
                 totals["move"] += self.model.move * (last @ eb.T)
                 beta[:, :n] = self.move @ eb
+        totals["log"] += float(np.log(np.concatenate(self.scale)).sum(dtype=np.float64))
         if self.before is None:
-            totals["start"] += weights[-1].sum(1, dtype=np.float64)
-        where, gamma = np.concatenate(tokens), np.concatenate(weights, 1)
+            totals["start"] += gamma[:, : self.live[0]].sum(1, dtype=np.float64)
         for i in range(k):
             totals["emit"][i] += np.bincount(where, gamma[i], minlength=totals["emit"].shape[1])
         totals["n"] += len(where)
