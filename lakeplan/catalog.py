@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators.dml import Table, VersionedStore
+from .stats import table_stats
 
 
 class Catalog:
@@ -16,6 +19,26 @@ class Catalog:
     def __init__(self, spark: SparkSession, root: str | None = None, data: str | None = None):
         self.spark, self.data = spark, data
         self.store = VersionedStore(spark, root) if root else None
+        self._stats: dict[str, dict] = {}
+        self.functions: dict[str, int] = {}
+
+    def analyze(self, name: str) -> dict:
+        """Compute and keep a table's statistics: beside a versioned table, in this catalog for a read-only one."""
+        out = table_stats(self.read(name))
+        if self.store and self.store.exists(name):
+            self.store.keep_stats(name, out)
+        else:
+            self._stats[name] = out
+        return out
+
+    def stats(self, name: str) -> dict | None:
+        """The statistics that the last ANALYZE kept, if the table has not changed since."""
+        return self.store.stats(name) if self.store and self.store.exists(name) else self._stats.get(name)
+
+    def register(self, name: str, fn: Callable, returns: str) -> None:
+        """Make a function over Arrow arrays callable from SQL; ``functions`` lists names and numbers of arguments."""
+        self.functions[name] = fn.__code__.co_argcount
+        self.spark.udf.register(name, F.arrow_udf(fn, returns))
 
     def external(self) -> list[str]:
         return sorted(n[:-8] for n in os.listdir(self.data) if n.endswith(".parquet")) if self.data else []

@@ -1,9 +1,12 @@
 """Copy-on-write tables on Parquet: snapshot reads, atomic commits, no row store.
 
 A version is a manifest that lists segment folders. A commit writes new segments
-and then creates the next manifest under a name that must not exist yet, so two
-writers can't both succeed and a reader keeps the version it opened. An insert
-adds a segment; update and delete rewrite only segments that hold matching rows.
+and then creates the next manifest under a name that must not exist yet, so a
+reader keeps the version it opened. Where the file system's rename refuses a
+target that exists (as HDFS does), two writers can't both succeed; on local disks
+and object stores a table needs one writer at a time. An insert adds a segment;
+update and delete rewrite only segments that hold matching rows; ``cluster``
+sorts a table by columns, so that Parquet's statistics let reads skip files.
 """
 
 from __future__ import annotations
@@ -82,6 +85,19 @@ class VersionedStore:
         self._fs.mkdirs(self._path(f"{self.root}/{name}/_versions"))
         self._write(f"{self.root}/{name}/_versions/{version:08d}.json", json.dumps({"schema": schema.jsonValue(), "segments": segments}))
 
+    def keep_stats(self, name: str, stats: dict) -> None:
+        """Statistics of the present version; those of older versions stay with these."""
+        path = f"{self.root}/{name}/_stats/{self.versions(name)[-1]:08d}.json"
+        if self._fs.exists(self._path(path)):
+            self._fs.delete(self._path(path), False)
+        self._fs.mkdirs(self._path(f"{self.root}/{name}/_stats"))
+        self._write(path, json.dumps(stats))
+
+    def stats(self, name: str) -> dict | None:
+        """Kept statistics of the present version."""
+        path = f"{self.root}/{name}/_stats/{self.versions(name)[-1]:08d}.json"
+        return json.loads(self._read(path)) if self._fs.exists(self._path(path)) else None
+
     def manifest(self, name: str, version: int) -> tuple[T.StructType, list[str]]:
         m = json.loads(self._read(f"{self.root}/{name}/_versions/{version:08d}.json"))
         return T.StructType.fromJson(m["schema"]), m["segments"]
@@ -162,5 +178,18 @@ class Table:
             raise ValueError(f"no such column: {sorted(missing)}")
         return self._rewrite("update", where, lambda df, hit, schema: df.select(*((F.when(hit, low[f.name.lower()].cast(f.dataType)).otherwise(F.col(f"`{f.name}`")) if f.name.lower() in low else F.col(f"`{f.name}`")).alias(f.name) for f in schema)))
 
+    def cluster(self, columns: list[str]) -> DataFrame:
+        """Rewrite the rows in ranges of the columns, each sorted; what an index is for elsewhere."""
+        known = {f.name.lower(): f.name for f in self.schema}
+        if missing := [c for c in columns if c.lower() not in known]:
+            raise ValueError(f"no such column: {missing}")
+        version = self.version
+        schema, segments = self.store.manifest(self.name, version)
+        if segments:
+            keys = [F.col(f"`{known[c.lower()]}`") for c in columns]
+            segment = self._segment(self._open(schema, segments).repartitionByRange(*keys).sortWithinPartitions(*keys))
+            self.store.commit(self.name, version + 1, schema, [segment])
+        return self._affected("cluster", 0)
+
     def delete(self, where: Column | None = None) -> DataFrame:
         return self._rewrite("delete", where, lambda df, hit, schema: df.filter(~hit))

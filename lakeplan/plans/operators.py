@@ -40,9 +40,9 @@ def scan_key_set(t: Tables) -> DataFrame:
     return semi(t.lineitem.select("l_orderkey", "l_partkey", "l_quantity"), small, F.col("l_partkey") == F.col("p_partkey"))
 
 
-@plan("SELECT CAST(k AS BIGINT) AS key, name, CAST(s AS DOUBLE) AS score FROM (VALUES (0, 'hello', 1.2), (3, 'piyo', 12.2), (1, 'world', 4.9), (2, NULL, 4.14)) v(k, name, s)")
+@plan("SELECT CAST(k AS BIGINT) AS key, name, CAST(s AS DOUBLE) AS score FROM (VALUES (7, 'maple', 0.5), (4, 'birch', 8.25), (9, NULL, -3.0), (4, '', NULL)) v(k, name, s)")
 def values_rows(t: Tables) -> DataFrame:
-    return constant(t.spark, [(0, "hello", 1.2), (3, "piyo", 12.2), (1, "world", 4.9), (2, None, 4.14)], "key long, name string, score double")
+    return constant(t.spark, [(7, "maple", 0.5), (4, "birch", 8.25), (9, None, -3.0), (4, "", None)], "key long, name string, score double")
 
 
 @plan("SELECT CAST(3 AS BIGINT) AS three, 'x' AS letter, CAST(NULL AS BIGINT) AS nothing, TRUE AS yes")

@@ -15,6 +15,7 @@ from ..explain import explain, explain_analyze
 from ..functions import exact_sum
 from ..operators import Table, VersionedStore, equi_join, semi
 from ..shared import shared_dir
+from ..sources.delimited import read_tbl
 from ..sql_engine import SqlEngine
 from ..stats import column_stats, histogram, most_common
 from ..streaming import windowed_counts
@@ -115,9 +116,11 @@ def analyze_common(t: Tables) -> DataFrame:
     return most_common(t.orders, "o_custkey")
 
 
-@plan()
+@plan("""
+WITH o AS (SELECT o_custkey AS v, row_number() OVER (ORDER BY o_custkey) AS r, COUNT(*) OVER () AS n FROM orders WHERE o_custkey IS NOT NULL)
+SELECT CAST(b - 1 AS INT) AS bucket, CAST(MIN(v) AS DOUBLE) AS upper FROM o, range(1, 17) AS x(b) WHERE r >= b / 16.0 * n GROUP BY b""")
 def analyze_histogram(t: Tables) -> DataFrame:
-    return histogram(t.orders, "o_totalprice")
+    return histogram(t.orders, "o_custkey")
 
 
 @plan("SELECT 'analyze' AS command, 'nation' AS \"table\", COUNT(*) AS rows FROM nation UNION ALL SELECT 'analyze', 'orders', COUNT(*) FROM orders")
@@ -140,3 +143,48 @@ def windowed_events(t: Tables) -> DataFrame:
     """The streaming aggregate over a table."""
     out = windowed_counts(t.events)
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@plan("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= DATE '1995-01-31' + INTERVAL 1 MONTH AND o_orderdate < DATE '1996-02-29' - INTERVAL 1 YEAR + INTERVAL 90 DAY")
+def sql_text_dates(t: Tables) -> DataFrame:
+    """Dates and intervals as SQL text through the dialect."""
+    return SqlEngine(t.spark, data=t.folder).execute("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= DATE '1995-01-31' + INTERVAL 1 MONTH AND o_orderdate < DATE '1996-02-29' - INTERVAL 1 YEAR + INTERVAL 90 DAY")
+
+
+@plan("SELECT n_name || '!' AS loud, CASE n_regionkey WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'more' END AS region, CAST(CASE WHEN n_nationkey IN (2, 5) THEN 8 ELSE 3 END AS BIGINT) AS n FROM nation")
+def sql_text_case(t: Tables) -> DataFrame:
+    """Simple CASE, string + literal and number + number as SQL text."""
+    return SqlEngine(t.spark, data=t.folder).execute("SELECT n_name + '!' AS loud, CASE n_regionkey WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'more' END AS region, CAST(CASE WHEN n_nationkey IN (2, 5) THEN 5 + 3 ELSE 3 END AS BIGINT) AS n FROM nation;")
+
+
+@plan("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 7 AND c_acctbal > 1000")
+def sql_text_parameters(t: Tables) -> DataFrame:
+    return SqlEngine(t.spark, data=t.folder).execute("SELECT c_custkey, c_name FROM customer WHERE c_nationkey = :nation AND c_acctbal > :least", {"nation": 7, "least": 1000})
+
+
+@plan("SELECT n_regionkey, COUNT(*) AS nations FROM nation WHERE n_nationkey BETWEEN 3 AND 20 GROUP BY n_regionkey")
+def ddl_index(t: Tables) -> DataFrame:
+    """A table that CREATE INDEX has clustered gives the same rows."""
+    engine = SqlEngine(t.spark, f"{shared_dir(t.spark)}/script-{uuid.uuid4().hex}", t.folder)
+    return engine.script("""
+        CREATE TABLE land (n_nationkey INT64, n_regionkey INT64);
+        INSERT INTO land SELECT n_nationkey, n_regionkey FROM nation;
+        CREATE INDEX land_key ON land (n_nationkey);
+        SELECT CAST(n_regionkey AS INT) AS n_regionkey, COUNT(*) AS nations FROM land WHERE n_nationkey BETWEEN 3 AND 20 GROUP BY n_regionkey;
+    """)[-1]
+
+
+@plan("SELECT 'kept' AS name")
+def ddl_drop(t: Tables) -> DataFrame:
+    """The tables that are left after a DROP."""
+    engine = SqlEngine(t.spark, f"{shared_dir(t.spark)}/script-{uuid.uuid4().hex}")
+    engine.script("CREATE TABLE kept (k INT64); CREATE TABLE gone (k INT64); DROP TABLE gone")
+    return t.spark.createDataFrame([(n,) for n in engine.catalog.tables()], "name string")
+
+
+@plan("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+def tbl_loader(t: Tables) -> DataFrame:
+    """Pipe-delimited lines with a closing delimiter, written and loaded with types."""
+    path = f"{shared_dir(t.spark)}/region-{uuid.uuid4().hex}.tbl"
+    t.region.select(F.concat_ws("|", F.col("r_regionkey").cast("string"), "r_name", F.lit(""))).write.text(path)
+    return read_tbl(t.spark, path, [("r_regionkey", "INT64"), ("r_name", "STRING")])

@@ -212,8 +212,9 @@ WITH sold AS (SELECT l_suppkey, {exact(VOLUME)} AS total_revenue FROM lineitem W
 SELECT s_suppkey, s_name, total_revenue FROM sold JOIN supplier ON s_suppkey = l_suppkey WHERE total_revenue >= ALL (SELECT total_revenue FROM sold)""")
 def tpch_q15(t: Tables) -> DataFrame:
     sold = t.lineitem.filter(since("l_shipdate", "1997-05-01", "1997-08-01")).groupBy("l_suppkey").agg(exact_sum(volume()).alias("total_revenue"))
-    best = sold.agg(F.max("total_revenue").alias("best"))
-    return multiway(sold.join(best, F.col("total_revenue") == F.col("best")), (t.supplier, [("l_suppkey", "s_suppkey")])).select("s_suppkey", "s_name", "total_revenue")
+    # suppliers of equal revenue share a row, so one aggregate finds the greatest revenue and all who have it
+    best = sold.groupBy("total_revenue").agg(F.collect_list("l_suppkey").alias("who")).agg(F.max(F.struct("total_revenue", "who")).alias("b"))
+    return multiway(best.select(F.col("b.total_revenue"), F.explode("b.who").alias("l_suppkey")), (t.supplier, [("l_suppkey", "s_suppkey")])).select("s_suppkey", "s_name", "total_revenue")
 
 
 @plan(f"""

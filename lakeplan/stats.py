@@ -11,6 +11,42 @@ BUCKETS = 16
 TOP = 5
 
 
+def table_stats(df: DataFrame, buckets: int = BUCKETS, k: int = TOP) -> dict:
+    """What ANALYZE keeps: rows, and of each column its nulls, distinct values, least and greatest values, equi-depth bounds and most common values.
+
+    One scan for all columns but the common values, which take an aggregate each.
+    """
+    facts = {r.column_name: r.asDict() for r in column_stats(df).collect()}
+    ordered = [c for c, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double", "date") or t.startswith("decimal")]
+    number = lambda c: F.unix_date(f"`{c}`") if dict(df.dtypes)[c] == "date" else F.col(f"`{c}`")
+    bounds = df.agg(*(F.percentile_approx(number(c).cast("double"), [(i + 1) / buckets for i in range(buckets)], 10_000).alias(f"b{i}") for i, c in enumerate(ordered))).first() if ordered else []
+    columns = {}
+    for c in df.columns:
+        f = facts[c]
+        columns[c] = {x: f[x] for x in ("null_count", "distinct_count", "min_value", "max_value")}
+        columns[c]["histogram"] = list(bounds[ordered.index(c)] or []) if c in ordered else []
+        columns[c]["most_common"] = [[r.value, r.frequency] for r in most_common(df, c, k).collect()]
+    return {"rows": next((f["row_count"] for f in facts.values()), 0), "columns": columns}
+
+
+def share_below(stats: dict, column: str, value: float) -> float:
+    """Estimated share of the table's rows whose column is below the value, from the kept bounds."""
+    c, rows = stats["columns"][column], stats["rows"]
+    if not rows or not c["histogram"]:
+        return 0.0
+    return (rows - c["null_count"]) / rows * sum(b < value for b in c["histogram"]) / len(c["histogram"])
+
+
+def share_equal(stats: dict, column: str, value) -> float:
+    """Estimated share of rows that have the value: known if it is common, else spread evenly over the other distinct values."""
+    c, rows = stats["columns"][column], stats["rows"]
+    common = dict(map(tuple, c["most_common"]))
+    if str(value) in common:
+        return common[str(value)] / rows
+    rest = rows - c["null_count"] - sum(common.values())
+    return max(rest, 0) / max(c["distinct_count"] - len(common), 1) / rows if rows else 0.0
+
+
 def column_stats(df: DataFrame, exact: bool = False) -> DataFrame:
     """column_name, row_count, null_count, distinct_count, min_value, max_value of each column, in one scan.
 
