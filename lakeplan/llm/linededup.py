@@ -153,7 +153,7 @@ def line_words(docs: DataFrame, short: int) -> DataFrame:
                 pick = pick[x.n[pick] >= short]
                 yield pa.RecordBatch.from_arrays([pa.array(x.hash[pick].view(np.int64)), pa.array([x.words[x.offset[i] : x.offset[i + 1]].tobytes() for i in pick], pa.binary())], names=["key", "words"])
 
-    return docs.mapInArrow(run, "key long, words binary")
+    return docs.select("text").mapInArrow(run, "key long, words binary")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
