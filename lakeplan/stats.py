@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 16
 TOP = 5
+NEAR = 2e-4  # twice the rank error of a sketched quantile
 
 
 def table_stats(df: DataFrame, buckets: int = BUCKETS, k: int = TOP) -> dict:
@@ -59,12 +60,40 @@ def column_stats(df: DataFrame, exact: bool = False) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
-    """Upper bounds of equi-depth buckets of a numeric or date column: bucket, upper."""
+    """Upper bounds of equi-depth buckets of a numeric or date column: bucket, upper.
+
+    Exact: bucket b ends at the least value that, with all lower ones, makes up
+    (b + 1) / buckets of the values. Sketched quantiles either side of each
+    bound only cut the values into ranges. These are counted, and of the ranges
+    that hold a bound the values are grouped and ranked. NaN is the greatest.
+    Three scans, the first two when called.
+    """
     c = F.col(f"`{column}`")
     if dict(df.dtypes)[column] == "date":
         c = F.unix_date(c)
-    q = F.percentile_approx(c.cast("double"), [(i + 1) / buckets for i in range(buckets)], 10_000)
-    return df.agg(q.alias("q")).select(F.posexplode("q").alias("bucket", "upper"))
+    rows = df.select(c.cast("double").alias("v")).filter("v IS NOT NULL")
+    shares = [min(max((i + 1) / buckets + e, 0.0), 1.0) for i in range(buckets) for e in (-NEAR, NEAR)]
+    cuts = sorted({x for x in rows.agg(F.percentile_approx("v", shares, 10_000)).first()[0] or [] if x == x})
+    rows = rows.select("v", _place(F.col("v"), cuts).alias("range"))
+    counts = dict(rows.groupBy("range").count().collect())
+    total, seen, before = sum(counts.values()), 0, {}
+    for r in sorted(counts):
+        if seen * buckets // total < (seen + counts[r]) * buckets // total:
+            before[r] = seen
+        seen += counts[r]
+    start = F.create_map(*(F.lit(x) for r in (before or {0: 0}).items() for x in r))
+    upto = F.sum("n").over(Window.partitionBy("range").orderBy("v")) + start[F.col("range")]
+    ranked = rows.filter(F.col("range").isin(*before)).groupBy("range", "v").agg(F.count("*").alias("n")).select("v", "n", upto.alias("upto"))
+    ends = ranked.selectExpr("v", f"CAST((upto - n) * {buckets} DIV {max(total, 1)} AS INT) AS lo", f"CAST(upto * {buckets} DIV {max(total, 1)} AS INT) AS hi").filter("lo < hi")
+    return ends.select(F.explode(F.sequence("lo", F.col("hi") - 1)).alias("bucket"), F.col("v").alias("upper")).orderBy("bucket")
+
+
+def _place(v: Column, cuts: list[float], first: int = 0) -> Column:
+    """Number of the range a value lies in: even between two cuts, odd on one."""
+    if not cuts:
+        return F.lit(2 * first)
+    m = len(cuts) // 2
+    return F.when(v < cuts[m], _place(v, cuts[:m], first)).when(v == cuts[m], 2 * (first + m) + 1).otherwise(_place(v, cuts[m + 1 :], first + m + 1))
 
 
 def most_common(df: DataFrame, column: str, k: int = TOP) -> DataFrame:

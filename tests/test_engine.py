@@ -181,6 +181,21 @@ def test_statistics(spark):
     assert rows(selectivity(empty, F.col("a") < 5)) == [(None,)] and rows(column_stats(empty))[0] == ("a", 0, 0, 0, None, None)
 
 
+HASHED = "pmod(xxhash64(id), 1000000)"
+ODD = "CASE WHEN id % 50 = 0 THEN DOUBLE('NaN') WHEN id % 51 = 0 THEN DOUBLE('Infinity') WHEN id % 3 = 0 THEN -0.0D WHEN id % 4 = 0 THEN NULL ELSE id / 7 - 900 END"
+
+
+@pytest.mark.parametrize("value,n,buckets", [(HASHED, 20000, 16), (HASHED, 20000, 7), (HASHED, 5, 16), (ODD, 20000, 16), (ODD, 0, 16), ("CAST(NULL AS INT)", 9, 16), ("IF(id % 3 = 0, 7, pmod(hash(id), 90000))", 20000, 16), ("DATE_FROM_UNIX_DATE(pmod(hash(id), 30000) - 9000)", 20000, 16)])
+def test_histogram_is_exact(spark, value, n, buckets):
+    """Bound b is the value at rank (b + 1) / buckets of all values but nulls, NaN last."""
+    df = spark.range(n).selectExpr(f"{value} AS a").repartition(4)
+    number = "UNIX_DATE(a)" if value.startswith("DATE") else "a"
+    have = sorted((float(r.a) for r in df.filter("a IS NOT NULL").selectExpr(f"{number} AS a").collect()), key=lambda x: (x != x, x))
+    want = [(b, have[-(-(b + 1) * len(have) // buckets) - 1]) for b in range(buckets)] if have else []
+    plain = lambda pairs: [(b, str(x + 0.0)) for b, x in pairs]
+    assert plain(rows(histogram(df, "a", buckets))) == plain(want)
+
+
 def test_tbl_files(spark, tmp_path):
     (tmp_path / "t.tbl").write_text("1|a b|2.5|1998-01-02|\n2||-1|1998-02-03|\n")
     got = read_tbl(spark, str(tmp_path / "t.tbl"), [("k", "INT"), ("s", "STRING"), ("v", "NUMERIC"), ("d", "DATE")])
