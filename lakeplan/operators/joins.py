@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 
 HINTS = ("broadcast", "shuffle_hash", "merge", "shuffle_replicate_nl")
 
+#: Rows of a block in ``block_join``, and the most blocks of a side, beyond which blocks grow.
+BLOCK_ROWS, MOST_BLOCKS = 4096, 100
+
 
 def _on(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], residual: Column | None) -> Column:
     out = [left[a] == right[b] for a, b in pairs]
@@ -32,10 +35,29 @@ def left_join(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]
 
 
 def theta_join(left: DataFrame, right: DataFrame, condition: Column, how: str = "inner") -> DataFrame:
-    """Join on any condition; without an equality Spark compares all pairs, so keep one side small."""
+    """Join on any condition; without an equality Spark compares all pairs, so keep one side small or use ``block_join``."""
     return left.join(right, condition, how)
 
 
+def block_join(left: DataFrame, right: DataFrame, condition: Column, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Inner join of two large sides on a condition without any equality: all pairs are compared, block by block.
+
+    Each side is counted and dealt out evenly into blocks of about that many rows; every
+    block meets every block of the other side in an equi join on the two block numbers.
+    There are as many tasks as pairs of blocks, whatever the number of files, and a task
+    holds the right rows of a few pairs. A side is shuffled MOST_BLOCKS times at most.
+    """
+    from pyspark.sql import functions as F
+
+    n, m = (min(max(1, -(-df.count() // rows)), MOST_BLOCKS) for df in (left, right))
+    numbers = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    # Spark sorts rows before it deals them out, so a task that is run again gives each row the same block.
+    a = left.repartition(n).withColumn("__left", F.spark_partition_id()).withColumn("__right", numbers(m)).repartition(n * m, "__left", "__right")
+    b = right.repartition(m).withColumn("__right_of", F.spark_partition_id()).withColumn("__left_of", numbers(n)).repartition(n * m, "__left_of", "__right_of")
+    met = (F.col("__left") == F.col("__left_of")) & (F.col("__right") == F.col("__right_of"))
+    return a.join(b.hint("shuffle_hash"), met & condition).drop("__left", "__right", "__left_of", "__right_of")
+
+
 def cross(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.crossJoin(right)
 

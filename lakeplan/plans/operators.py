@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import date_shift, exact_avg, exact_sum, like, year_of
-from ..operators import aggregate, anti, between, constant, cross, distinct, distinct_aggregate, equi_join, global_aggregate, in_list, is_null, left_join, multiway, not_in_list, null_aware_anti, one_row, order, page, project, project_all, qualify, scan, semi, theta_join, top_k, where
+from ..operators import aggregate, anti, between, block_join, constant, cross, distinct, distinct_aggregate, equi_join, global_aggregate, in_list, is_null, left_join, multiway, not_in_list, null_aware_anti, one_row, order, page, project, project_all, qualify, scan, semi, theta_join, top_k, where
 from .registry import Tables, exact, plan
 
 # Scans and projections
@@ -165,7 +165,7 @@ def join_left_on_filter(t: Tables) -> DataFrame:
 @plan("SELECT a.s_suppkey AS low, b.s_suppkey AS high FROM supplier a JOIN supplier b ON a.s_acctbal < b.s_acctbal AND a.s_nationkey <> b.s_nationkey")
 def join_theta(t: Tables) -> DataFrame:
     a, b = qualify(t.supplier, "a"), qualify(t.supplier, "b")
-    return theta_join(a, b, (F.col("a.s_acctbal") < F.col("b.s_acctbal")) & (F.col("a.s_nationkey") != F.col("b.s_nationkey"))).select(F.col("a.s_suppkey").alias("low"), F.col("b.s_suppkey").alias("high"))
+    return block_join(a, b, (F.col("a.s_acctbal") < F.col("b.s_acctbal")) & (F.col("a.s_nationkey") != F.col("b.s_nationkey"))).select(F.col("a.s_suppkey").alias("low"), F.col("b.s_suppkey").alias("high"))
 
 
 @plan("SELECT r_name, n_name FROM region CROSS JOIN nation")

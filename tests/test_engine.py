@@ -19,7 +19,7 @@ from lakeplan import types
 from lakeplan.dialect import DialectError, split_statements, to_spark
 from lakeplan.explain import explain, explain_analyze
 from lakeplan.functions import int_div, like, safe_div, safe_mod, substr
-from lakeplan.operators import VersionedStore, null_aware_anti
+from lakeplan.operators import VersionedStore, block_join, null_aware_anti, qualify
 from lakeplan.operators.dml import ConflictError
 from lakeplan.sources import read_tbl
 from lakeplan.sql_engine import SqlEngine
@@ -170,6 +170,39 @@ def test_not_in(spark, keys, want):
     assert sorted(map(str, sql)) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize(("n", "m", "size"), [(0, 5, 4), (5, 0, 4), (1, 1, 4), (40, 9, 4), (9, 40, 4), (120, 2, 1)])
+def test_block_join(spark, n, m, size):
+    """Each pair once, with nulls, NaN, ties and repeated rows; more blocks wanted than there may be in the last case."""
+    value = lambda k: None if k % 7 == 3 else float("nan") if k % 11 == 5 else float(k % 6)
+    left, right = ([(k // 2, value(k // 2)) for k in range(c)] for c in (n, m))
+    a, b = (qualify(spark.createDataFrame(x, "k int, v double"), name) for x, name in ((left, "a"), (right, "b")))
+    got = block_join(a, b, (F.col("a.v") < F.col("b.v")) & (F.col("a.k") != F.col("b.k")), size)
+    assert got.columns == ["k", "v", "k", "v"]
+    less = lambda x, y: None not in (x, y) and x == x and (y != y or x < y)
+    assert sorted(rows(got.select("a.k", "b.k"))) == sorted((k, j) for k, x in left for j, y in right if less(x, y) and k != j)
+
+
+def test_block_join_of_a_table_with_itself(spark):
+    t = spark.range(50)
+    got = block_join(qualify(t, "a"), qualify(t, "b"), F.col("a.id") < F.col("b.id"), 8)
+    assert sorted(rows(got.select("a.id", "b.id"))) == [(i, j) for i in range(50) for j in range(i + 1, 50)]
+
+
+def test_theta_join_shares_its_pairs(spark, tmp_path):
+    """One small file, many pairs: several tasks return them, all of them, and no side is sent to all tasks."""
+    import duckdb
+
+    from lakeplan import plans
+
+    duckdb.sql(f"COPY (SELECT k AS s_suppkey, CAST(k % 25 AS INT) AS s_nationkey, CAST(k * 7919 % 1009 AS DOUBLE) AS s_acctbal FROM range(12000) r(k)) TO '{tmp_path}/supplier.parquet'")
+    got = plans.QUERIES["join_theta"](spark, str(tmp_path))
+    assert "NestedLoop" not in _text(got) and "Cartesian" not in _text(got)
+    parts = got.groupBy(F.spark_partition_id()).agg(F.count("*"), F.sum("low"), F.sum("high")).collect()
+    want = duckdb.sql(f"WITH supplier AS (FROM '{tmp_path}/supplier.parquet') SELECT COUNT(*), SUM(low), SUM(high) FROM ({plans.ORACLES['join_theta']})").fetchall()[0]
+    assert tuple(sum(p[k] for p in parts) for k in (1, 2, 3)) == want
+    assert len(parts) > 2 and max(p[1] for p in parts) < 0.7 * want[0]
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(i % 10, None if i % 4 == 0 else "x") for i in range(400)], "a long, b string")
     assert sorted(rows(column_stats(df, exact=True))) == [("a", 400, 0, 10, "0", "9"), ("b", 400, 100, 1, "x", "x")]
